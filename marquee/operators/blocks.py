@@ -1,0 +1,259 @@
+"""Exact top-k inner products between two sets of sparse vectors.
+
+Joining two vector tables on their shared dimension emits a row for every pair
+that meets in a popular dimension, which is quadratic in the size of the largest
+group. Here both sides are cut into blocks of rows instead, every pair of blocks
+becomes one key, and the entries of a key stream through a task slab of dimensions
+by slab of dimensions. A task holds one block-by-block accumulator and one slab,
+however skewed a dimension or a vector is, and only the best ``k`` partners per
+row and block pair leave it.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from marquee.operators.ranking import top_n
+from marquee.session import shuffle_partitions
+
+BLOCK_ROWS = 2048
+SLAB_DIMENSIONS = 1024
+SCORE_DIGITS = 9
+
+_DENSE_RATIO = 64  # a pair product is about this many times dearer one by one than in a matrix product
+_PAIRS_AT_ONCE = 1 << 22
+
+
+def block_count(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> Column:
+    """Number of blocks as a scalar subquery; a few even for small tables, to use all cores."""
+    n = F.count("*")
+    fitting = F.ceil(n / block_rows)
+    spread = F.least(F.lit(4), F.ceil(n * 8 / block_rows))
+    return rows.agg(F.greatest(fitting, spread, F.lit(1)).cast("int").alias("n")).scalar()
+
+
+def place(items: DataFrame, blocks: Column) -> DataFrame:
+    """Give every id a block and a position in it; blocks are numbered in parallel."""
+    placed = items.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int"))
+    return placed.withColumn(
+        "pos", F.row_number().over(Window.partitionBy("block").orderBy("id")) - 1
+    )
+
+
+def _entries(placed: DataFrame, vectors: DataFrame, slabs: Column) -> DataFrame:
+    """Block entries: one header row per id (slab -1) and one row per vector component."""
+    header = placed.select(
+        "block",
+        "pos",
+        F.lit(-1).alias("slab"),
+        F.col("id").alias("dim"),
+        F.col("bias").alias("weight"),
+    )
+    components = vectors.join(placed.select("id", "block", "pos"), "id").select(
+        "block",
+        "pos",
+        F.pmod(F.xxhash64("dim"), slabs).cast("int").alias("slab"),
+        "dim",
+        "weight",
+    )
+    return header.unionByName(components)
+
+
+def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and column of the k best scores per row; equal scores go to the leftmost column."""
+    if scores.shape[1] > k:
+        kth = np.partition(scores, -k, axis=1)[:, -k][:, None]
+        above = scores > kth
+        level = scores == kth
+        room = k - above.sum(axis=1, keepdims=True)
+        chosen = above | (level & (np.cumsum(level, axis=1) <= room))
+    else:
+        chosen = np.ones(scores.shape, dtype=bool)
+    return np.nonzero(chosen & (scores > -np.inf))
+
+
+def _add_products(acc: np.ndarray, left: tuple, right: tuple) -> None:
+    """acc += left . right^T over the components of one slab, each side (pos, dim, weight)."""
+    dims, column = np.unique(np.concatenate([left[1], right[1]]), return_inverse=True)
+    lcol, rcol = column[: len(left[1])], column[len(left[1]) :]
+    ln, rn = np.bincount(lcol, minlength=len(dims)), np.bincount(rcol, minlength=len(dims))
+    pairs = ln * rn
+    dense = pairs * _DENSE_RATIO > acc.size
+    if dense.any():
+        slot = np.cumsum(dense) - 1
+        sides = []
+        for (pos, _, weight), col, size in ((left, lcol, acc.shape[0]), (right, rcol, acc.shape[1])):
+            matrix = np.zeros((size, slot[-1] + 1))
+            use = dense[col]
+            matrix[pos[use], slot[col[use]]] = weight[use]
+            sides.append(matrix)
+        acc += sides[0] @ sides[1].T
+    lkeep = np.nonzero(~dense[lcol] & (rn[lcol] > 0))[0]
+    if not len(lkeep):
+        return
+    order = np.argsort(rcol, kind="stable")
+    first = np.cumsum(rn) - rn
+    partners = rn[lcol[lkeep]]
+    ends = np.cumsum(partners)
+    flat, start = acc.reshape(-1), 0
+    while start < len(lkeep):
+        done = ends[start - 1] if start else 0
+        stop = max(start + 1, int(np.searchsorted(ends, done + _PAIRS_AT_ONCE, side="right")))
+        rows, counts = lkeep[start:stop], partners[start:stop]
+        offset = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+        match = order[np.repeat(first[lcol[rows]], counts) + offset]
+        mine = np.repeat(rows, counts)
+        np.add.at(flat, left[0][mine] * acc.shape[1] + right[0][match], left[2][mine] * right[2][match])
+        start = stop
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], list[np.ndarray]]]:
+    """Join the sorted batches into one run of arrays per (pair, slab)."""
+    held, parts = None, []
+    for batch in batches:
+        pair, slab, *rest = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        if not len(pair):
+            continue
+        cuts = np.nonzero((np.diff(pair) != 0) | (np.diff(slab) != 0))[0] + 1
+        for lo, hi in zip([0, *cuts], [*cuts, len(pair)]):
+            key = (int(pair[lo]), int(slab[lo]))
+            if held is not None and key != held:
+                yield held, [np.concatenate(p) for p in zip(*parts)]
+                parts = []
+            held = key
+            parts.append([c[lo:hi] for c in rest])
+    if held is not None:
+        yield held, [np.concatenate(p) for p in zip(*parts)]
+
+
+def _pair_kernel(k: int, scale: float, mirrored: bool, positive: bool, keep_self: bool):
+    """Task body: accumulate each block pair and emit its best partners."""
+
+    def emit(state) -> Iterator[pa.RecordBatch]:
+        (lid, lbias), (rid, rbias), acc, same = state
+        views = [(acc, lid, rid, rbias)]
+        if mirrored and not same:
+            views.append((acc.T, rid, lid, lbias))
+        for products, qid, cid, bias in views:
+            if not (len(qid) and len(cid)):
+                continue
+            scores = np.round(scale * products + bias[None, :], SCORE_DIGITS)
+            if positive:
+                scores[products <= 0] = -np.inf
+            if not keep_self:
+                hit = np.minimum(np.searchsorted(cid, qid), len(cid) - 1)
+                own = np.nonzero(cid[hit] == qid)[0]
+                scores[own, hit[own]] = -np.inf
+            row, col = _best(scores, k)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(qid[row]), pa.array(cid[col]), pa.array(scores[row, col])],
+                names=["query_id", "id", "score"],
+            )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, state = None, None
+        for (pair, slab), (side, pos, dim, weight) in _runs(batches):
+            if pair != current:
+                if state:
+                    yield from emit(state)
+                current, state = pair, None
+            left, right = side != 1, side != 0  # 2 stands for both sides of a block met with itself
+            if slab < 0:
+                heads = []
+                for part in (left, right):
+                    by_pos = np.argsort(pos[part])
+                    heads.append((dim[part][by_pos], weight[part][by_pos]))
+                same = bool((side == 2).all())
+                state = (*heads, np.zeros((len(heads[0][0]), len(heads[1][0]))), same)
+            elif state[2].size:
+                _add_products(
+                    state[2],
+                    (pos[left], dim[left], weight[left]),
+                    (pos[right], dim[right], weight[right]),
+                )
+        if state:
+            yield from emit(state)
+
+    return run
+
+
+def _slab_count(vectors: DataFrame) -> Column:
+    n = F.approx_count_distinct("dim")
+    return vectors.agg(F.greatest(F.ceil(n / SLAB_DIMENSIONS), F.lit(1)).cast("int").alias("n")).scalar()
+
+
+def _stream(paired: DataFrame, kernel) -> DataFrame:
+    n = shuffle_partitions(paired.sparkSession) * 2
+    columns = ["pair", "slab", "side", "pos", "dim", "weight"]
+    return (
+        paired.select(*columns)
+        .repartitionById(n, F.pmod("pair", F.lit(n)).cast("int"))
+        .sortWithinPartitions("pair", "slab")
+        .mapInArrow(kernel, "query_id long, id long, score double")
+    )
+
+
+def nearest_among(
+    items: DataFrame,
+    vectors: DataFrame,
+    k: int,
+    scale: float = 1.0,
+    positive: bool = False,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """Best ``k`` partners of every item within one set, itself excluded.
+
+    ``items(id, bias)`` lists every member, ``vectors(id, dim, weight)`` holds the
+    non-zero components; ids and dims are BIGINT. The score of a partner is
+    ``scale * dot + bias``, rounded to 9 digits so that equal values tie and ids
+    decide. ``positive`` keeps partners with a positive product only. Each pair of
+    blocks is computed once and read in both directions.
+    """
+    blocks = block_count(items, block_rows)
+    entries = _entries(place(items, blocks), vectors, _slab_count(vectors))
+    low, high = F.least("block", "other"), F.greatest("block", "other")
+    paired = entries.withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1))).select(
+        "*",
+        (high.cast("long") * (high + 1) / 2 + low).cast("long").alias("pair"),
+        F.when(F.col("block") == F.col("other"), 2)
+        .when(F.col("block") < F.col("other"), 0)
+        .otherwise(1)
+        .alias("side"),
+    )
+    found = _stream(paired, _pair_kernel(k, scale, True, positive, False))
+    return top_n(found, ["query_id"], [F.desc("score"), F.asc("id")], k)
+
+
+def nearest(
+    queries: DataFrame,
+    query_vectors: DataFrame,
+    items: DataFrame,
+    vectors: DataFrame,
+    k: int,
+    scale: float = 1.0,
+    positive: bool = False,
+    keep_self: bool = False,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """As :func:`nearest_among`, for the ids of ``queries(id)`` against ``items``."""
+    q_blocks, c_blocks = block_count(queries, block_rows), block_count(items, block_rows)
+    slabs = _slab_count(vectors)
+    asked = _entries(place(queries.withColumn("bias", F.lit(0.0)), q_blocks), query_vectors, slabs)
+    offered = _entries(place(items, c_blocks), vectors, slabs)
+    paired = (
+        asked.withColumn("other", F.explode(F.sequence(F.lit(0), c_blocks - 1)))
+        .withColumn("pair", F.col("block").cast("long") * c_blocks + F.col("other"))
+        .withColumn("side", F.lit(0))
+        .unionByName(
+            offered.withColumn("other", F.explode(F.sequence(F.lit(0), q_blocks - 1)))
+            .withColumn("pair", F.col("other").cast("long") * c_blocks + F.col("block"))
+            .withColumn("side", F.lit(1))
+        )
+    )
+    found = _stream(paired, _pair_kernel(k, scale, False, positive, keep_self))
+    return top_n(found, ["query_id"], [F.desc("score"), F.asc("id")], k)
