@@ -45,9 +45,9 @@ def decade_counts(ratings: DataFrame, movies: DataFrame) -> DataFrame:
     )
 
 
-def user_totals(ratings: DataFrame) -> DataFrame:
+def user_totals(ratings: DataFrame, digits: int = 2) -> DataFrame:
     return ratings.groupBy("userId").agg(
-        F.count("*").alias("total_ratings"), F.round(F.avg("rating"), 2).alias("avg_rating")
+        F.count("*").alias("total_ratings"), F.round(F.avg("rating"), digits).alias("avg_rating")
     )
 
 
@@ -92,7 +92,11 @@ def _most_counted(kind: str) -> Column:
 
 
 def user_profile(
-    ratings: DataFrame, movies: DataFrame, users: DataFrame | None = None, n_top: int = 10
+    ratings: DataFrame,
+    movies: DataFrame,
+    users: DataFrame | None = None,
+    n_top: int = 10,
+    digits: int = 2,
 ) -> DataFrame:
     """One row per user: totals, genre and decade maps, and the best-rated titles."""
     history = only_users(ratings, users)
@@ -109,7 +113,7 @@ def user_profile(
     counts = _tallies(rated, facts).select(
         "userId",
         total["n"].alias("total_ratings"),
-        F.round(total["total"] / total["n"], 2).alias("avg_rating"),
+        F.round(total["total"] / total["n"], digits).alias("avg_rating"),
         _count_map("genre").alias("genre_counts"),
         _count_map("decade").alias("decade_counts"),
     )

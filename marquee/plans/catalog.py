@@ -4,23 +4,209 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.operators import collab, profile
-from marquee.plans.views import Views
+from marquee.functions import display, text
+from marquee.operators import (
+    attribution,
+    classifier,
+    collab,
+    content,
+    ensemble,
+    explain,
+    factor,
+    profile,
+    ranking,
+    report,
+    sentiment,
+    titles,
+)
+from marquee.plans import recommend as top
+from marquee.plans.views import LEXICON, STOP_WORDS, Views
+from marquee.session import shared_folder, stage
+from marquee.sources import sampling, tables
 
-# The test tables have fewer ratings per item than the default cuts ask for.
+# The test tables have fewer ratings and votes per item than the default cuts ask for.
 CUTS = {"min_movie_ratings": 20, "min_user_ratings": 20}
+MIN_VOTES = 20
+
+Query = Callable[[Views], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def registered(fn: Query) -> Query:
+    QUERIES[fn.__name__] = fn
+    return fn
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {
+        name: lambda spark, folder, fn=fn: fn(Views(spark, folder)) for name, fn in QUERIES.items()
+    }
 
 
 def _lines(items: Column, *fields: str) -> Column:
-    """An array of structs or map entries as text, one piece per element."""
+    """An array of structs as text, one piece per element."""
     return F.array_join(
         F.transform(items, lambda e: F.concat_ws("=", *[e[f].cast("string") for f in fields])), ";"
     )
 
 
+# --- sources ---------------------------------------------------------------------------
+
+
+@registered
+def load_report(v: Views) -> DataFrame:
+    return tables.load_report(
+        {"ratings": v.ratings, "movies": v.movies, "metadata": v.metadata, "reviews": v.reviews}
+    )
+
+
+@registered
+def metadata_from_literals(v: Views) -> DataFrame:
+    """Dirty ids and votes, literal lists, keywords and credits through the cleaning path."""
+    cleaned = tables.clean_metadata(v.raw_metadata)
+    return tables.join_details(cleaned, v.raw_keywords, v.raw_credits).drop("vote_average", "overview")
+
+
+@registered
+def metadata_from_csv(v: Views) -> DataFrame:
+    """The same tables written as CSV files and loaded by name."""
+    folder = f"{shared_folder(v.spark)}/csv"
+    files = {
+        "movies_metadata.csv": v.raw_metadata,
+        "keywords.csv": v.raw_keywords,
+        "credits.csv": v.raw_credits,
+    }
+    for name, df in files.items():
+        df.write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{folder}/{name}")
+    loaded = tables.load_metadata(v.spark, folder)
+    return loaded.select("id", "title", "genre_names", "keyword_names", "cast_names", "director_name", "vote_count")
+
+
+@registered
+def ratings_from_csv(v: Views) -> DataFrame:
+    folder = f"{shared_folder(v.spark)}/csv"
+    for name, df in {"rating.csv": v.ratings, "movies.csv": v.movies}.items():
+        df.write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{folder}/{name}")
+    ratings = tables.load_ratings(v.spark, folder, sample=None)
+    return (
+        ratings.join(tables.load_movies(v.spark, folder), "movieId")
+        .groupBy("movieId", "title", "genres")
+        .agg(F.count("*").alias("n"), F.sum("rating").alias("total"))
+    )
+
+
+@registered
+def rating_sample(v: Views) -> DataFrame:
+    return (
+        tables.sample_ratings(v.ratings, 5000)
+        .groupBy("userId", "movieId", "rating")
+        .agg(F.count("*").alias("copies"))
+    )
+
+
+@registered
+def train_validation_split(v: Views) -> DataFrame:
+    split = sampling.train_validation_split(v.reviews, ["review_id"], 200, 100)
+    return split.select("review_id", "part")
+
+
+@registered
+def reviews_cleaned(v: Views) -> DataFrame:
+    return tables.clean_reviews(v.reviews).select("review_id", "movieId", "review", "label")
+
+
+@registered
+def pages_cleaned(v: Views) -> DataFrame:
+    return v.table("pages").select("page_id", text.clean_review(F.col("html")).alias("review"))
+
+
+@registered
+def class_counts(v: Views) -> DataFrame:
+    return sentiment.class_counts(v.reviews)
+
+
+# --- scalar functions ------------------------------------------------------------------
+
+
+@registered
+def title_functions(v: Views) -> DataFrame:
+    title = F.col("title")
+    return v.odd_titles.select(
+        "movieId",
+        text.detect_language(title).alias("lang"),
+        text.lower_strip(title).alias("title_lower"),
+        text.normalise_title(title).alias("title_norm"),
+        text.strip_year(title).alias("yearless"),
+        text.seed_title(title).alias("lookup"),
+        text.title_year(title).alias("year"),
+        text.decade_label(title).alias("decade"),
+        text.token_sorted(F.lower(title)).alias("sorted_words"),
+    )
+
+
+@registered
+def documents_normalised(v: Views) -> DataFrame:
+    return v.table("documents").select(
+        "doc_id",
+        text.normalise_title(F.col("text")).alias("normalised"),
+        text.detect_language(F.col("text")).alias("lang_rule"),
+        F.size(text.tokens(F.col("text"))).alias("n_tokens"),
+    )
+
+
+@registered
+def request_filters(v: Views) -> DataFrame:
+    label = F.when(F.col("lang") == "en", "English").when(F.col("lang") == "es", "Spanish")
+    label = label.when(F.col("lang") == "de", "German").otherwise("Auto detect")
+    genre = F.when(F.col("doc_id") % 3 == 0, "Any").otherwise(F.col("source"))
+    return v.table("documents").select(
+        "doc_id", display.language_code(label).alias("lang"), display.genre_choice(genre).alias("genre")
+    )
+
+
+@registered
+def genre_labels(v: Views) -> DataFrame:
+    """Category and display form of genre strings made of the words of each document."""
+    return v.table("documents").select(
+        "doc_id",
+        display.genre_category(F.col("text")).alias("category"),
+        display.genre_display(F.concat_ws("|", "lang", "source")).alias("shown"),
+    )
+
+
+# --- profiles --------------------------------------------------------------------------
+
+
+@registered
+def user_totals(v: Views) -> DataFrame:
+    return profile.user_totals(v.ratings, digits=6)
+
+
+@registered
+def genre_counts(v: Views) -> DataFrame:
+    return profile.genre_counts(v.ratings, v.movies)
+
+
+@registered
+def liked_genre_counts(v: Views) -> DataFrame:
+    return profile.genre_counts(v.ratings, v.movies, profile.LIKED)
+
+
+@registered
+def decade_counts(v: Views) -> DataFrame:
+    return profile.decade_counts(v.ratings, v.movies)
+
+
+@registered
+def top_rated(v: Views) -> DataFrame:
+    return profile.top_rated(v.ratings, v.movies).select("userId", "rank", "title", "rating", "genres")
+
+
+@registered
 def user_profile(v: Views) -> DataFrame:
     best = F.transform(
         "top_rated",
@@ -28,7 +214,7 @@ def user_profile(v: Views) -> DataFrame:
             t["title"].alias("title"), (t["rating"] * 2).alias("rating"), t["genres"].alias("genres")
         ),
     )
-    return profile.user_profile(v.ratings, v.movies).select(
+    return profile.user_profile(v.ratings, v.movies, digits=6).select(
         "userId",
         "total_ratings",
         "avg_rating",
@@ -38,35 +224,382 @@ def user_profile(v: Views) -> DataFrame:
     )
 
 
+@registered
+def taste_profile(v: Views) -> DataFrame:
+    return profile.taste_profile(v.ratings, v.movies).select(
+        "userId",
+        F.array_join("top_genres", ";").alias("top_genres"),
+        "top_decade",
+        F.array_join("top_movies", ";").alias("top_movies"),
+        "total_rated",
+    )
+
+
+@registered
+def user_card(v: Views) -> DataFrame:
+    card = report.user_card(profile.user_profile(v.ratings, v.movies, digits=6))
+    return card.select(
+        "userId",
+        "total_ratings",
+        "avg_rating",
+        "top_genre",
+        "top_decade",
+        F.array_join("leading_genres", ";").alias("leading_genres"),
+        F.array_join("decades", ";").alias("decades"),
+        _lines(F.col("titles"), "title", "category", "genres").alias("titles"),
+    )
+
+
+# --- collaborative ---------------------------------------------------------------------
+
+
 def _dense(v: Views) -> DataFrame:
     return collab.dense_enough(v.ratings, **CUTS)
 
 
+@registered
 def collab_matrix(v: Views) -> DataFrame:
     return collab.user_item_means(_dense(v)).withColumn("rating", F.round("rating", 6))
 
 
+@registered
 def collab_shape(v: Views) -> DataFrame:
     return collab.matrix_shape(_dense(v))
 
 
+@registered
 def user_neighbours(v: Views) -> DataFrame:
     found = collab.user_neighbours(collab.user_item_means(_dense(v)))
     return found.withColumn("similarity", F.round("similarity", 6))
 
 
+def _collab(v: Views, n: int = 10) -> DataFrame:
+    dense = stage(_dense(v), "dense-ratings")
+    return collab.collab_recommendations(collab.user_item_means(dense), dense, v.ratings, n=n)
+
+
+@registered
 def collab_recommendations(v: Views) -> DataFrame:
-    dense = _dense(v)
-    return collab.collab_recommendations(collab.user_item_means(dense), dense, v.ratings)
+    return _collab(v)
 
 
-QUERIES: dict[str, Callable[[Views], DataFrame]] = {
-    fn.__name__: fn
-    for fn in (user_profile, collab_matrix, collab_shape, user_neighbours, collab_recommendations)
-}
+@registered
+def normalised_scores(v: Views) -> DataFrame:
+    return ensemble.normalise_scores(_collab(v), "score", digits=6)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {
-        name: lambda spark, folder, fn=fn: fn(Views(spark, folder)) for name, fn in QUERIES.items()
-    }
+# --- content ---------------------------------------------------------------------------
+
+
+def _content(v: Views) -> content.ContentModel:
+    return content.build_content_model(v.metadata, STOP_WORDS)
+
+
+@registered
+def content_soup(v: Views) -> DataFrame:
+    return content.with_soup(v.metadata, min_words=16).select("id", "soup", "vote_count")
+
+
+@registered
+def search_table(v: Views) -> DataFrame:
+    return titles.search_table(v.metadata).withColumn("year", text.display_year(F.col("release_date")))
+
+
+def _terms(v: Views) -> tuple[DataFrame, DataFrame]:
+    kept = content.with_soup(v.metadata)
+    counts = stage(content.term_counts(kept, STOP_WORDS), "term-counts")
+    n_texts = kept.agg(F.count("*").alias("n")).scalar()
+    return counts, content.vocabulary(counts, n_texts)
+
+
+@registered
+def vocabulary(v: Views) -> DataFrame:
+    return _terms(v)[1].withColumn("idf", F.round("idf", 6))
+
+
+@registered
+def tfidf_weights(v: Views) -> DataFrame:
+    weights = content.tfidf_weights(*_terms(v))
+    return weights.select("id", "term", F.round("weight", 6).alias("weight"))
+
+
+@registered
+def similar_items(v: Views) -> DataFrame:
+    """Lists around every item of the catalogue."""
+    model = _content(v)
+    seeds = model.items.select(F.col("id").alias("seed_id"), "id")
+    found = content.similar_items(model, seeds, min_votes=MIN_VOTES, all_items=True)
+    return found.select("seed_id", "rank", "id", F.round("score", 6).alias("score"))
+
+
+@registered
+def similar_filtered(v: Views) -> DataFrame:
+    """Every item as a seed, asking for its own genre and, for even ids, its own language."""
+    model = _content(v)
+    seeds = model.items.select(
+        F.col("id").alias("seed_id"),
+        "id",
+        F.upper(F.split("genre_names", " ")[0]).alias("genre"),
+        F.when(F.col("id") % 2 == 0, F.col("original_language")).alias("lang"),
+    )
+    found = content.similar_items(model, seeds, 20, min_votes=MIN_VOTES, all_items=True)
+    return content.as_shown(found, 6)
+
+
+@registered
+def similar(v: Views) -> DataFrame:
+    """Similar titles asked for by title, one request per catalogue entry."""
+    requests = v.movies.select(
+        F.col("movieId").alias("request_id"), text.seed_title(F.col("title")).alias("title")
+    )
+    return top.similar(_content(v), requests, min_votes=MIN_VOTES, fuzzy=False, all_items=True, digits=6)
+
+
+# --- titles ----------------------------------------------------------------------------
+
+
+@registered
+def resolve_titles(v: Views) -> DataFrame:
+    """Exact and normalised matches of altered titles."""
+    found = titles.resolve_titles(v.title_queries, titles.search_table(v.metadata), fuzzy=False)
+    return found.select("title", "id", "matched_by")
+
+
+@registered
+def resolve_shared_titles(v: Views) -> DataFrame:
+    """Titles that many items share go to the most-voted item."""
+    items = v.metadata.withColumn("title", F.col("raw_title"))
+    asked = items.select(F.initcap("raw_title").alias("title"))
+    return titles.resolve_titles(asked, titles.search_table(items), fuzzy=False).select("title", "id")
+
+
+@registered
+def resolve_fuzzy(v: Views) -> DataFrame:
+    """Misspelt and shortened titles through all four stages."""
+    return titles.resolve_titles(v.misspelt, titles.search_table(v.metadata))
+
+
+@registered
+def search_titles(v: Views) -> DataFrame:
+    asked = v.misspelt.select(F.col("title").alias("query"))
+    return titles.search_titles(asked, titles.search_table(v.metadata))
+
+
+# --- factors ---------------------------------------------------------------------------
+
+
+@registered
+def most_rated(v: Views) -> DataFrame:
+    items = factor.most_rated(v.ratings, "movieId", factor.MOVIES)
+    users = factor.most_rated(v.ratings, "userId", factor.USERS)
+    return items.select(F.lit("movie").alias("kind"), F.col("movieId").alias("id"), "count").unionByName(
+        users.select(F.lit("user").alias("kind"), F.col("userId").alias("id"), "count")
+    )
+
+
+@registered
+def svd_matrix(v: Views) -> DataFrame:
+    return factor.svd_matrix(v.ratings).withColumn("rating", F.round("rating", 6))
+
+
+@registered
+def svd_recommendations(v: Views) -> DataFrame:
+    return factor.svd_recommendations(factor.build_svd_model(v.ratings), v.ratings, v.movies)
+
+
+# --- ensemble --------------------------------------------------------------------------
+
+
+@registered
+def favourite_seeds(v: Views) -> DataFrame:
+    return ensemble.favourite_seeds(v.ratings, v.movies)
+
+
+@registered
+def merge_scored(v: Views) -> DataFrame:
+    """Three lists per customer taken from the order lines, merged and cut."""
+    shifted = v.ratings.groupBy("userId", "movieId").agg(F.sum("rating").alias("total"))
+    n_items = v.movies.agg(F.count("*").alias("n")).scalar()
+
+    def listed(step: int, name: str) -> DataFrame:
+        return shifted.select(
+            "userId", F.pmod(F.col("movieId") + step, n_items).alias("movieId"), F.col("total").alias(name)
+        )
+
+    names = v.movies.select("movieId", "title")
+    return ensemble.merge_scored(
+        listed(1, "score"),
+        listed(2, "similarity_score").join(names, "movieId").drop("movieId"),
+        listed(1, "predicted_rating").join(names, "movieId").drop("movieId"),
+        v.ratings,
+        v.movies,
+        digits=6,
+    )
+
+
+def _models(v: Views, with_svd: bool) -> top.Models:
+    return top.build_models(v.ratings, v.movies, v.metadata, **CUTS, stop_words=STOP_WORDS, with_svd=with_svd)
+
+
+@registered
+def hybrid_without_svd(v: Views) -> DataFrame:
+    return top.hybrid_recommend(_models(v, False), min_votes=MIN_VOTES, fuzzy=False, digits=6)
+
+
+@registered
+def hybrid_recommendations(v: Views) -> DataFrame:
+    return top.hybrid_recommend(_models(v, True), min_votes=MIN_VOTES)
+
+
+# --- sentiment -------------------------------------------------------------------------
+
+
+def _lexicon(v: Views) -> DataFrame:
+    return v.spark.createDataFrame(list(LEXICON), "token string, valence double")
+
+
+def _scores(v: Views, rules: bool = False, digits: int = 6) -> DataFrame:
+    scores = sentiment.lexicon_scores(v.reviews, _lexicon(v), rules, digits)
+    return v.reviews.drop("review").join(scores, "review_id")
+
+
+@registered
+def lexicon_core(v: Views) -> DataFrame:
+    return _scores(v).select("review_id", "compound")
+
+
+@registered
+def lexicon_rules(v: Views) -> DataFrame:
+    """Every document scored with the intensity, negation, capitals and 'but' rules."""
+    docs = v.table("documents").select(F.col("doc_id").alias("review_id"), F.col("text").alias("review"))
+    return sentiment.lexicon_scores(docs, _lexicon(v), True, 6)
+
+
+@registered
+def item_sentiment(v: Views) -> DataFrame:
+    means = sentiment.item_sentiment(_scores(v))
+    return means.select(
+        "movieId",
+        F.round("sentiment", 6).alias("sentiment"),
+        "n_reviews",
+        display.audience_label(sentiment.unit_range(F.col("sentiment"))).alias("audience"),
+    )
+
+
+@registered
+def lexicon_accuracy(v: Views) -> DataFrame:
+    label = (F.col("sentiment") == "positive").cast("int")
+    sampled = sampling.sample_rows(v.reviews.withColumn("label", label), 250, ["review_id"])
+    scores = sentiment.lexicon_scores(sampled, _lexicon(v), False)
+    return sentiment.accuracy(sampled.drop("review").join(scores, "review_id")).select("n", "correct")
+
+
+@registered
+def sentiment_fallback(v: Views) -> DataFrame:
+    """The toxicity label stands in for a classifier that knows some of the reviews only."""
+    known = v.table("labels").where(F.col("toxic") == 1).select(
+        F.col("doc_id").alias("review_id"), F.col("toxic").cast("double").alias("probability")
+    )
+    score = sentiment.sentiment_or_fallback(F.col("probability"), F.col("compound"))
+    return (
+        _scores(v)
+        .join(known, "review_id", "left")
+        .select("review_id", F.round(score, 5).alias("score"))
+    )
+
+
+def _scored_list(v: Views) -> DataFrame:
+    """(userId, rank, title, hybrid_score): collaborative lists under their titles."""
+    scaled = ensemble.normalise_scores(_collab(v), "score", digits=6)
+    return scaled.join(v.movies.select("movieId", "title"), "movieId").select(
+        "userId", "rank", "title", F.col("normalized_score").alias("hybrid_score")
+    )
+
+
+def _reranked(v: Views) -> DataFrame:
+    heard = sentiment.audience(_scores(v), v.movies)
+    return sentiment.rerank_with_sentiment(_scored_list(v), heard, digits=6)
+
+
+@registered
+def rerank_with_sentiment(v: Views) -> DataFrame:
+    return _reranked(v)
+
+
+@registered
+def recommendation_tiles(v: Views) -> DataFrame:
+    return report.recommendation_tiles(_reranked(v))
+
+
+def _classifier(v: Views):
+    rows = tables.clean_reviews(v.reviews)
+    n_train = rows.count() * 3 // 4
+    split = stage(
+        sampling.train_validation_split(rows, ["review_id"], n_train, n_train), "classifier-split"
+    )
+    held_out = split.where(F.col("part") == "validation")
+    return classifier.train_classifier(split.where(F.col("part") == "train")), held_out, rows
+
+
+@registered
+def classifier_scores(v: Views) -> DataFrame:
+    model, _, rows = _classifier(v)
+    scored = classifier.score_reviews(model, rows)
+    return scored.select("review_id", F.round("probability", 4).alias("probability"), "label")
+
+
+@registered
+def classifier_accuracy(v: Views) -> DataFrame:
+    model, held_out, _ = _classifier(v)
+    return sentiment.accuracy(classifier.score_reviews(model, held_out), "probability", 0.5)
+
+
+# --- explanations ----------------------------------------------------------------------
+
+
+@registered
+def genres_by_title(v: Views) -> DataFrame:
+    """Genres of the first title that contains each seed title or each bare item name."""
+    asked = v.movies.select("title").unionByName(v.metadata.select(F.col("raw_title").alias("title")))
+    return explain.genres_by_title(asked, v.movies)
+
+
+@registered
+def explained(v: Views) -> DataFrame:
+    recs = stage(_reranked(v), "reranked")
+    tastes = profile.taste_profile(v.ratings, v.movies)
+    return explain.explain_recommendations(recs, tastes, v.movies).select(
+        "userId", "rank", "title", "explanation"
+    )
+
+
+@registered
+def recommend(v: Views) -> DataFrame:
+    """All users: hybrid lists, re-ranked by audience sentiment and explained."""
+    return top.recommend(_models(v, True), _scores(v), min_votes=MIN_VOTES)
+
+
+_VALENCE = dict(LEXICON)
+
+
+def lexicon_total(texts: pd.Series) -> pd.Series:
+    """Squashed valence sum of each text: the score whose words are attributed."""
+    total = texts.str.lower().str.split().map(lambda ws: sum(_VALENCE.get(w.strip(".,|"), 0.0) for w in ws))
+    return total / (total**2 + sentiment.ALPHA) ** 0.5
+
+
+@registered
+def word_attribution(v: Views) -> DataFrame:
+    found = attribution.attribute_words(v.reviews, lexicon_total)
+    return found.withColumn("weight", F.round("weight", 6))
+
+
+@registered
+def attribution_text(v: Views) -> DataFrame:
+    """Summaries built from the lexicon words of each review, strongest first."""
+    words = (
+        v.reviews.select("review_id", F.explode(F.array_distinct(text.tokens(F.col("review")))).alias("word"))
+        .join(_lexicon(v).select(F.col("token").alias("word"), F.col("valence").alias("weight")), "word")
+    )
+    order = [F.desc(F.abs("weight")), F.asc("word")]
+    return attribution.attribution_summary(ranking.top_n(words, ["review_id"], order, attribution.N_WORDS))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from marquee.plans.views import LEXICON, STOP_WORDS
+
 RATINGS = """ratings AS (
   SELECT o_custkey AS userId, l_partkey AS movieId, ceil(l_quantity / 5) / 2 AS rating
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey)"""
@@ -73,57 +75,612 @@ def split_genres(column: str) -> str:
     return f"list_filter({trimmed}, lambda g: g <> '' AND g <> 'nan')"
 
 
-YEAR = r"try_cast(nullif(regexp_extract(title, '\(([0-9]{4})\)', 1), '') AS INTEGER)"
-DECADE_LABEL = f"CASE WHEN {YEAR} IS NULL THEN 'Unknown' ELSE concat({YEAR} // 10 * 10, 's') END"
+# The same character classes as the Spark side uses.
+WS = r"\s\x0B\x1C-\x1F\x85\p{Z}"
+WORD = r"\p{L}\p{N}_"
 
 
-def oracle_sql() -> dict[str, str]:
-    sql: dict[str, str] = {}
-    sql["user_profile"] = query(
-        RATINGS,
-        MOVIES,
-        RATED,
-        f"""genres AS (
-  SELECT userId, string_agg(concat(genre, '=', n), ';' ORDER BY genre) AS genre_counts
-  FROM (SELECT userId, genre, count(*) AS n
-        FROM (SELECT userId, unnest({split_genres('genres')}) AS genre FROM rated) GROUP BY ALL)
-  GROUP BY userId),
-decades AS (
-  SELECT userId, string_agg(concat(decade, '=', n), ';' ORDER BY decade) AS decade_counts
-  FROM (SELECT userId, {DECADE_LABEL} AS decade, count(*) AS n FROM rated GROUP BY ALL)
-  GROUP BY userId),
+def strip(x: str) -> str:
+    return f"regexp_replace({x}, '^[{WS}]+|[{WS}]+$', '', 'g')"
+
+
+def lower_strip(x: str) -> str:
+    return strip(f"lower(coalesce({x}, ''))")
+
+
+def words(x: str) -> str:
+    return f"regexp_extract_all({x}, '[^{WS}]+')"
+
+
+def tokens(x: str) -> str:
+    return f"regexp_extract_all(lower({x}), '[{WORD}]{{2,}}')"
+
+
+def normalise(x: str) -> str:
+    bare = f"regexp_replace(lower({x}), '[^{WORD}{WS}]', '', 'g')"
+    return f"array_to_string(list_filter({words(bare)}, lambda w: w NOT IN ('the', 'a', 'an')), ' ')"
+
+
+def yearless(x: str) -> str:
+    return rf"regexp_replace({x}, '[{WS}]*\([0-9]{{4}}\)[{WS}]*$', '')"
+
+
+def lookup(x: str) -> str:
+    base = strip(yearless(x))
+    the = f"CASE WHEN contains({base}, ', The') THEN concat('The ', replace({base}, ', The', '')) ELSE {base} END"
+    return f"CASE WHEN contains({the}, ', A ') THEN concat('A ', replace({the}, ', A ', ' ')) ELSE {the} END"
+
+
+def clean(x: str) -> str:
+    return rf"trim(regexp_replace(regexp_replace({x}, '<[^>]+>', ' ', 'g'), '[{WS}]+', ' ', 'g'))"
+
+
+def year(x: str) -> str:
+    return rf"try_cast(nullif(regexp_extract({x}, '\(([0-9]{{4}})\)', 1), '') AS INTEGER)"
+
+
+def decade_label(x: str) -> str:
+    return f"CASE WHEN {year(x)} IS NULL THEN 'Unknown' ELSE concat({year(x)} // 10 * 10, 's') END"
+
+
+def category(x: str) -> str:
+    rules = [
+        ("action", "action|thriller"),
+        ("comedy", "comedy"),
+        ("romance", "romance"),
+        ("horror", "horror"),
+        ("family", "animation|family"),
+        ("fantastic", "sci|fantasy"),
+        ("drama", "drama"),
+        ("crime", "crime"),
+        ("documentary", "documentary"),
+        ("music", "music"),
+    ]
+    whens = " ".join(f"WHEN regexp_matches(lower({x}), '{needle}') THEN '{name}'" for name, needle in rules)
+    return f"CASE {whens} ELSE 'other' END"
+
+
+def quoted(values) -> str:
+    return ", ".join(f"'{value}'" for value in values)
+
+
+LEX = "lexicon(token, valence) AS (VALUES " + ", ".join(f"('{t}', {v}::DOUBLE)" for t, v in LEXICON) + ")"
+
+SOUP = """soup AS (
+  SELECT *, concat_ws(' ', genre_names, genre_names, genre_names, keyword_names, keyword_names,
+                      director_name, director_name, cast_names, overview) AS soup
+  FROM metadata)"""
+
+ITEMS = f"items AS (SELECT * FROM soup WHERE len({words('soup')}) >= 10)"
+
+TERMS = f"""kept_words AS (
+  SELECT id, list_filter({tokens('soup')}, lambda t: t NOT IN ({quoted(STOP_WORDS)})) AS ws FROM items),
+places AS (SELECT id, unnest(ws) AS w, generate_subscripts(ws, 1) AS at FROM kept_words),
+grams AS (
+  SELECT id, w AS term FROM places
+  UNION ALL
+  SELECT a.id, concat(a.w, ' ', b.w) FROM places a JOIN places b ON a.id = b.id AND b.at = a.at + 1),
+counts AS (SELECT id, term, count(*) AS n FROM grams GROUP BY id, term),
+vocabulary AS (
+  SELECT term, row_number() OVER (ORDER BY sum(n) DESC, term) AS dim, sum(n)::BIGINT AS total, count(*) AS df,
+         ln((1 + (SELECT count(*) FROM items)) / (1 + count(*))) + 1 AS idf
+  FROM counts GROUP BY term QUALIFY dim <= 15000),
+raw_weights AS (SELECT id, dim, c.term, n * idf AS w FROM counts c JOIN vocabulary v ON c.term = v.term),
+weights AS (
+  SELECT id, dim, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM raw_weights)"""
+
+
+def similar_lists(depth: int) -> str:
+    return f"""products AS (
+  SELECT a.id AS seed, b.id, sum(a.weight * b.weight) AS cos
+  FROM weights a JOIN weights b ON a.dim = b.dim AND a.id <> b.id GROUP BY a.id, b.id),
+blended AS (
+  SELECT s.id AS seed, i.id,
+         round(0.65 * coalesce(cos, 0) + 0.35 * (i.vote_count / (SELECT max(vote_count) FROM items)), 9) AS score
+  FROM items s JOIN items i ON s.id <> i.id LEFT JOIN products p ON p.seed = s.id AND p.id = i.id),
+near AS (
+  SELECT *, row_number() OVER (PARTITION BY seed ORDER BY score DESC, id) AS position
+  FROM blended QUALIFY position <= {depth}),
+shown AS (
+  SELECT seed, position, id, score, title, genre_names, vote_count, original_language
+  FROM near JOIN items USING (id) WHERE score >= 0.1 AND vote_count >= 20)"""
+
+
+SCORED_LIST = """scaled AS (
+  SELECT userId, movieId, rank, round((score - min(score) OVER u)
+         / CASE WHEN max(score) OVER u = min(score) OVER u THEN 1 ELSE max(score) OVER u - min(score) OVER u END, 6)
+         AS normalized_score
+  FROM collab WINDOW u AS (PARTITION BY userId)),
+scored_list AS (
+  SELECT userId, rank, title, normalized_score AS hybrid_score FROM scaled JOIN movies USING (movieId))"""
+
+CORE = f"""spoken AS (
+  SELECT review_id, unnest({words('review')}) AS said FROM reviews),
+bare AS (
+  SELECT review_id, said, regexp_replace(said, '^\\p{{P}}+|\\p{{P}}+$', '', 'g') AS stripped FROM spoken),
+hits AS (
+  SELECT review_id, sum(valence) AS total
+  FROM bare JOIN lexicon ON token = lower(CASE WHEN length(stripped) > 2 THEN stripped ELSE said END)
+  GROUP BY review_id),
+scores AS (
+  SELECT review_id, movieId, sentiment,
+         round(round(coalesce(total, 0), 9) / sqrt(round(coalesce(total, 0), 9) ** 2 + 15), 6) AS compound
+  FROM reviews LEFT JOIN hits USING (review_id))"""
+
+RERANKED = f"""heard AS (
+  SELECT lower({lookup('title')}) AS key, (sum(compound) / count(*) + 1) / 2 AS audience
+  FROM scores JOIN movies USING (movieId) GROUP BY key),
+blend AS (
+  SELECT userId, title, hybrid_score, coalesce(audience, 0.5) AS heard,
+         round(hybrid_score * (1 - 0.2) + coalesce(audience, 0.5) * 0.2, 9) AS final
+  FROM scored_list LEFT JOIN heard ON lower({lookup('title')}) = key),
+reranked AS (
+  SELECT userId, row_number() OVER (PARTITION BY userId ORDER BY final DESC, title) AS rank, title,
+         hybrid_score, round(heard, 6) AS sentiment_score, round(final, 6) AS final_score
+  FROM blend)"""
+
+TASTE = f"""liked_genres AS (
+  SELECT userId, genre, row_number() OVER (PARTITION BY userId ORDER BY count(*) DESC, genre) AS place
+  FROM (SELECT userId, unnest({split_genres('genres')}) AS genre FROM rated WHERE rating >= 4)
+  GROUP BY userId, genre QUALIFY place <= 5),
+liked_decades AS (
+  SELECT userId, decade, row_number() OVER (PARTITION BY userId ORDER BY count(*) DESC, decade) AS place
+  FROM (SELECT userId, {year('title')} // 10 * 10 AS decade FROM rated WHERE rating >= 4 AND {year('title')} > 0)
+  GROUP BY userId, decade QUALIFY place = 1),
+best_titles AS (
+  SELECT userId, title, row_number() OVER (PARTITION BY userId ORDER BY rating DESC, movieId, title) AS place
+  FROM rated QUALIFY place <= 5),
+taste AS (
+  SELECT t.userId, g.names AS top_genres, d.decade AS top_decade, b.names AS top_movies, t.n AS total_rated
+  FROM (SELECT userId, count(*) AS n FROM ratings GROUP BY userId) t
+  LEFT JOIN (SELECT userId, list(genre ORDER BY place) AS names FROM liked_genres GROUP BY userId) g USING (userId)
+  LEFT JOIN liked_decades d USING (userId)
+  LEFT JOIN (SELECT userId, list(title ORDER BY place) AS names FROM best_titles GROUP BY userId) b USING (userId))"""
+
+CAPITALISED = """array_to_string(list_transform(string_split({x}, ' '),
+  lambda w: concat(upper(left(w, 1)), substr(w, 2))), ' ')"""
+
+ODD_TITLES = f"""odd AS (
+  SELECT p_partkey AS movieId, CASE p_partkey % 6
+    WHEN 0 THEN concat(name, ', The (', 1950 + p_size, ')')
+    WHEN 1 THEN concat(name, ', A Tale (', 1950 + p_size, ') ')
+    WHEN 2 THEN concat(' The  ', p_name, '''s: an Élan!')
+    WHEN 3 THEN concat(p_name, ' (', 1950 + p_size, ') ', p_partkey)
+    WHEN 4 THEN concat(chr(160), upper(p_name), '_a-', p_size, chr(9))
+    ELSE concat(p_name, ' ', p_partkey, ' (', 1950 + p_size, ')') END AS title
+  FROM (SELECT *, {CAPITALISED.format(x='p_name')} AS name FROM part))"""
+
+VOTE_BEST = "arg_max(id, (vote_count, -id))"
+
+
+def shuffled(table: str, seed: int, *keys: str) -> str:
+    parts = ", ".join(f"({k})::VARCHAR" for k in keys)
+    return f"""shuffled AS (
+  SELECT *, row_number() OVER (ORDER BY md5(concat_ws('|', '{seed}', {parts}))) AS position FROM {table})"""
+
+
+def merged(lists: str, n: int = 10) -> str:
+    """Scale, weight, add up and cut the rows of ``lists(source, weight, userId, title, score)``."""
+    return f"""parts AS (
+  SELECT userId, title, weight * round((score - min(score) OVER u)
+         / CASE WHEN max(score) OVER u = min(score) OVER u THEN 1 ELSE max(score) OVER u - min(score) OVER u END, 4)
+         AS part
+  FROM {lists} WINDOW u AS (PARTITION BY source, userId)),
+summed AS (SELECT userId, title, round(sum(part), 9) AS total FROM parts GROUP BY userId, title),
+unseen AS (
+  SELECT * FROM summed s
+  WHERE NOT EXISTS (SELECT 1 FROM rated r WHERE r.userId = s.userId AND r.title = s.title)),
+hybrid AS (
+  SELECT userId, row_number() OVER (PARTITION BY userId ORDER BY total DESC, title) AS rank, title,
+         round(total, 6) AS hybrid_score
+  FROM unseen QUALIFY rank <= {n})"""
+
+
+def source_queries() -> dict[str, str]:
+    dirty = """clean AS (
+  SELECT id, title, release_date, original_language,
+         CASE WHEN id % 13 = 0 THEN '' ELSE genre_names END AS genre_names,
+         CASE WHEN id % 17 = 0 THEN 0 ELSE vote_count END AS vote_count,
+         CASE WHEN id % 3 <> 0 THEN keyword_names ELSE '' END AS keyword_names,
+         CASE WHEN id % 4 <> 1 THEN cast_names ELSE '' END AS cast_names,
+         CASE WHEN id % 4 <> 1 AND id % 5 <> 2 THEN director_name ELSE '' END AS director_name
+  FROM metadata WHERE id % 11 <> 5)"""
+    return {
+        "load_report": query(
+            RATINGS,
+            MOVIES,
+            METADATA,
+            REVIEWS,
+            select="""SELECT 'ratings' AS source, count(*) AS n_rows, 3 AS n_columns FROM ratings
+UNION ALL SELECT 'movies', count(*), 3 FROM movies
+UNION ALL SELECT 'metadata', count(*), 12 FROM metadata
+UNION ALL SELECT 'reviews', count(*), 4 FROM reviews""",
+        ),
+        "metadata_from_literals": query(METADATA, dirty, select="SELECT * FROM clean"),
+        "metadata_from_csv": query(
+            METADATA, dirty, select="SELECT * EXCLUDE (release_date, original_language) FROM clean"
+        ),
+        "ratings_from_csv": query(
+            RATINGS,
+            MOVIES,
+            RATED,
+            select="""SELECT movieId, title, genres, count(*) AS n, sum(rating) AS total
+FROM rated GROUP BY movieId, title, genres""",
+        ),
+        "rating_sample": query(
+            RATINGS,
+            """numbered AS (
+  SELECT *, row_number() OVER (PARTITION BY userId, movieId, rating) AS copy_no FROM ratings)""",
+            shuffled("numbered", 42, "userId", "movieId", "rating", "copy_no"),
+            select="""SELECT userId, movieId, rating, count(*) AS copies
+FROM shuffled WHERE position <= 5000 GROUP BY userId, movieId, rating""",
+        ),
+        "train_validation_split": query(
+            REVIEWS,
+            shuffled("reviews", 42, "review_id"),
+            select="""SELECT review_id, CASE WHEN position <= 200 THEN 'train' ELSE 'validation' END AS part
+FROM shuffled WHERE position <= 300""",
+        ),
+        "reviews_cleaned": query(
+            REVIEWS,
+            select=f"""SELECT review_id, movieId, {clean('review')} AS review,
+  CASE WHEN sentiment = 'positive' THEN 1 ELSE 0 END AS label FROM reviews""",
+        ),
+        "pages_cleaned": f"SELECT page_id, {clean('html')} AS review FROM pages",
+        "class_counts": query(
+            REVIEWS, select="SELECT sentiment, count(*) AS n FROM reviews GROUP BY sentiment"
+        ),
+    }
+
+
+def function_queries() -> dict[str, str]:
+    return {
+        "title_functions": query(
+            ODD_TITLES,
+            select=f"""SELECT movieId, CASE WHEN regexp_matches(title, '[^\\x00-\\x7F]') THEN 'hi' END AS lang,
+  {lower_strip('title')} AS title_lower, {normalise('title')} AS title_norm, {yearless('title')} AS yearless,
+  {lookup('title')} AS lookup, {year('title')} AS year, {decade_label('title')} AS decade,
+  array_to_string(list_sort({words('lower(title)')}), ' ') AS sorted_words
+FROM odd""",
+        ),
+        "documents_normalised": f"""SELECT doc_id, {normalise('text')} AS normalised,
+  CASE WHEN regexp_matches(text, '[^\\x00-\\x7F]') THEN 'hi' END AS lang_rule, len({tokens('text')}) AS n_tokens
+FROM documents""",
+        "request_filters": """SELECT doc_id, CASE lang WHEN 'en' THEN 'en' WHEN 'es' THEN 'es' END AS lang,
+  CASE WHEN doc_id % 3 <> 0 THEN source END AS genre FROM documents""",
+        "genre_labels": f"""SELECT doc_id, {category('text')} AS category, concat(lang, ' · ', source) AS shown
+FROM documents""",
+    }
+
+
+def profile_queries() -> dict[str, str]:
+    genre_rows = f"""genre_rows AS (
+  SELECT userId, rating, unnest({split_genres('genres')}) AS genre FROM rated)"""
+    profile = f"""genre_n AS (SELECT userId, genre, count(*) AS n FROM genre_rows GROUP BY userId, genre),
+decade_n AS (
+  SELECT userId, decade, count(*) AS n
+  FROM (SELECT userId, {decade_label('title')} AS decade FROM rated) GROUP BY userId, decade),
 best AS (
-  SELECT userId, string_agg(concat(title, '=', rating * 2, '=', genres), ';' ORDER BY rank) AS top_rated
-  FROM (SELECT *, row_number() OVER (PARTITION BY userId ORDER BY rating DESC, movieId, title) AS rank
-        FROM rated QUALIFY rank <= 10)
-  GROUP BY userId),
+  SELECT *, row_number() OVER (PARTITION BY userId ORDER BY rating DESC, movieId, title) AS rank
+  FROM rated QUALIFY rank <= 10),
 totals AS (
-  SELECT userId, count(*) AS total_ratings, round(avg(rating), 2) AS avg_rating FROM ratings GROUP BY userId)""",
-        select="""SELECT userId, total_ratings, avg_rating, coalesce(genre_counts, '') AS genre_counts,
-  coalesce(decade_counts, '') AS decade_counts, coalesce(top_rated, '') AS top_rated
-FROM totals LEFT JOIN genres USING (userId) LEFT JOIN decades USING (userId) LEFT JOIN best USING (userId)""",
-    )
-    sql["collab_matrix"] = query(
-        RATINGS, DENSE, MATRIX, select="SELECT userId, movieId, round(rating, 6) AS rating FROM matrix"
-    )
-    sql["collab_shape"] = query(
-        RATINGS,
-        DENSE,
-        select="SELECT count(DISTINCT userId) AS n_users, count(DISTINCT movieId) AS n_movies FROM dense",
-    )
-    sql["user_neighbours"] = query(
-        RATINGS,
-        DENSE,
-        MATRIX,
-        NEIGHBOURS,
-        select="SELECT userId, rank, neighbour, round(similarity, 6) AS similarity FROM neighbours",
-    )
-    sql["collab_recommendations"] = query(
-        RATINGS,
-        DENSE,
-        MATRIX,
-        NEIGHBOURS,
-        collab(10),
-        select="SELECT userId, rank, movieId, score FROM collab",
-    )
-    return sql
+  SELECT userId, count(*) AS total_ratings, round(avg(rating), 6) AS avg_rating FROM ratings GROUP BY userId)"""
+    base = (RATINGS, MOVIES, RATED, genre_rows)
+    return {
+        "user_totals": query(
+            RATINGS,
+            select="""SELECT userId, count(*) AS total_ratings, round(avg(rating), 6) AS avg_rating
+FROM ratings GROUP BY userId""",
+        ),
+        "genre_counts": query(
+            *base, select="SELECT userId, genre, count(*) AS n FROM genre_rows GROUP BY userId, genre"
+        ),
+        "liked_genre_counts": query(
+            *base,
+            select="SELECT userId, genre, count(*) AS n FROM genre_rows WHERE rating >= 4 GROUP BY userId, genre",
+        ),
+        "decade_counts": query(*base, profile, select="SELECT userId, decade, n FROM decade_n"),
+        "top_rated": query(*base, profile, select="SELECT userId, rank, title, rating, genres FROM best"),
+        "user_profile": query(
+            *base,
+            profile,
+            select="""SELECT userId, total_ratings, avg_rating, coalesce(g, '') AS genre_counts,
+  coalesce(d, '') AS decade_counts, coalesce(b, '') AS top_rated
+FROM totals
+LEFT JOIN (SELECT userId, string_agg(concat(genre, '=', n), ';' ORDER BY genre) AS g FROM genre_n GROUP BY userId)
+  USING (userId)
+LEFT JOIN (SELECT userId, string_agg(concat(decade, '=', n), ';' ORDER BY decade) AS d FROM decade_n GROUP BY userId)
+  USING (userId)
+LEFT JOIN (SELECT userId, string_agg(concat(title, '=', rating * 2, '=', genres), ';' ORDER BY rank) AS b
+           FROM best GROUP BY userId) USING (userId)""",
+        ),
+        "taste_profile": query(
+            RATINGS,
+            MOVIES,
+            RATED,
+            TASTE,
+            select="""SELECT userId, coalesce(array_to_string(top_genres, ';'), '') AS top_genres, top_decade,
+  coalesce(array_to_string(top_movies, ';'), '') AS top_movies, total_rated FROM taste""",
+        ),
+        "user_card": query(
+            *base,
+            profile,
+            select=f"""SELECT userId, total_ratings, avg_rating, coalesce(g[1], '—') AS top_genre,
+  coalesce(d1, '—') AS top_decade, array_to_string(g[1:8], ';') AS leading_genres, d AS decades, b AS titles
+FROM totals
+LEFT JOIN (SELECT userId, list(genre ORDER BY n DESC, genre) AS g FROM genre_n GROUP BY userId) USING (userId)
+LEFT JOIN (SELECT userId, string_agg(decade, ';' ORDER BY decade) AS d,
+                  (list(decade ORDER BY n DESC, decade))[1] AS d1 FROM decade_n GROUP BY userId) USING (userId)
+LEFT JOIN (SELECT userId, string_agg(concat({strip(yearless('title'))}, '=', {category('genres')}, '=',
+                  replace(genres, '|', ' · ')), ';' ORDER BY rank) AS b
+           FROM best WHERE rank <= 8 GROUP BY userId) USING (userId)""",
+        ),
+    }
+
+
+def collab_queries() -> dict[str, str]:
+    base = (RATINGS, DENSE, MATRIX)
+    return {
+        "collab_matrix": query(*base, select="SELECT userId, movieId, round(rating, 6) AS rating FROM matrix"),
+        "collab_shape": query(
+            RATINGS,
+            DENSE,
+            select="SELECT count(DISTINCT userId) AS n_users, count(DISTINCT movieId) AS n_movies FROM dense",
+        ),
+        "user_neighbours": query(
+            *base,
+            NEIGHBOURS,
+            select="SELECT userId, rank, neighbour, round(similarity, 6) AS similarity FROM neighbours",
+        ),
+        "collab_recommendations": query(
+            *base, NEIGHBOURS, collab(10), select="SELECT userId, rank, movieId, score FROM collab"
+        ),
+        "normalised_scores": query(
+            *base,
+            NEIGHBOURS,
+            collab(10),
+            MOVIES,
+            SCORED_LIST,
+            select="""SELECT userId, rank, movieId, score, normalized_score
+FROM collab JOIN scaled USING (userId, rank, movieId)""",
+        ),
+    }
+
+
+def content_queries() -> dict[str, str]:
+    model = (METADATA, SOUP, ITEMS, TERMS)
+    return {
+        "content_soup": query(
+            METADATA,
+            SOUP,
+            select=f"SELECT id, soup, vote_count FROM soup WHERE len({words('soup')}) >= 16",
+        ),
+        "search_table": query(
+            METADATA,
+            select=f"""SELECT id, title, release_date, genre_names, vote_count, {lower_strip('title')} AS title_lower,
+  left(release_date, 4) AS year FROM metadata""",
+        ),
+        "vocabulary": query(
+            *model, select="SELECT term, dim, total, df, round(idf, 6) AS idf FROM vocabulary"
+        ),
+        "tfidf_weights": query(*model, select="SELECT id, term, round(weight, 6) AS weight FROM weights"),
+        "similar_items": query(
+            *model,
+            similar_lists(40),
+            select="""SELECT seed AS seed_id, row_number() OVER (PARTITION BY seed ORDER BY position) AS rank, id,
+  round(score, 6) AS score FROM shown QUALIFY rank <= 10""",
+        ),
+        "similar_filtered": query(
+            *model,
+            similar_lists(80),
+            select="""SELECT seed AS seed_id, row_number() OVER (PARTITION BY seed ORDER BY position) AS rank,
+  n.title, n.genre_names, round(score, 6) AS similarity_score, n.vote_count::BIGINT AS vote_count,
+  n.original_language
+FROM shown n JOIN items s ON s.id = n.seed
+WHERE contains(lower(n.genre_names), lower(split_part(s.genre_names, ' ', 1)))
+  AND (s.id % 2 <> 0 OR n.original_language = s.original_language)
+QUALIFY rank <= 20""",
+        ),
+        "similar": query(
+            *model,
+            similar_lists(40),
+            MOVIES,
+            select=f"""SELECT movieId AS request_id, row_number() OVER (PARTITION BY movieId ORDER BY position) AS rank,
+  n.title, n.genre_names, round(score, 6) AS similarity_score, n.vote_count::BIGINT AS vote_count,
+  n.original_language
+FROM movies m JOIN items s ON lower(s.title) = lower({lookup('m.title')}) JOIN shown n ON s.id = n.seed
+QUALIFY rank <= 10""",
+        ),
+    }
+
+
+def title_queries() -> dict[str, str]:
+    return {
+        "resolve_titles": query(
+            METADATA,
+            """asked AS (
+  SELECT DISTINCT CASE id % 3 WHEN 0 THEN concat(' ', upper(title)) WHEN 1 THEN concat('The ', title, '!')
+         ELSE concat(title, ' returns') END AS title FROM metadata)""",
+            f"exact AS (SELECT {lower_strip('title')} AS key, {VOTE_BEST} AS id FROM metadata GROUP BY key)",
+            f"normal AS (SELECT {normalise(lower_strip('title'))} AS key, {VOTE_BEST} AS id FROM metadata GROUP BY key)",
+            select=f"""SELECT a.title, coalesce(e.id, n.id) AS id,
+  CASE WHEN e.id IS NULL THEN 'normalised' ELSE 'exact' END AS matched_by
+FROM asked a LEFT JOIN exact e ON e.key = {lower_strip('a.title')}
+LEFT JOIN normal n ON n.key = {normalise(lower_strip('a.title'))}
+WHERE e.id IS NOT NULL OR n.id IS NOT NULL""",
+        ),
+        "resolve_shared_titles": query(
+            METADATA,
+            select=f"""SELECT {CAPITALISED.format(x='raw_title')} AS title, {VOTE_BEST} AS id
+FROM metadata GROUP BY raw_title""",
+        ),
+    }
+
+
+def ensemble_queries() -> dict[str, str]:
+    top_items = """top_movies AS (
+  SELECT movieId, count(*) AS n FROM ratings GROUP BY movieId ORDER BY n DESC, movieId LIMIT 500),
+top_users AS (SELECT userId, count(*) AS n FROM ratings GROUP BY userId ORDER BY n DESC, userId LIMIT 2000)"""
+    seeds = f"""seeds AS (
+  SELECT userId, seed, {lookup('title')} AS title
+  FROM (SELECT *, row_number() OVER (PARTITION BY userId ORDER BY rating DESC, movieId) AS seed
+        FROM ratings QUALIFY seed <= 3) JOIN movies USING (movieId))"""
+    return {
+        "most_rated": query(
+            RATINGS,
+            top_items,
+            select="""SELECT 'movie' AS kind, movieId AS id, n AS "count" FROM top_movies
+UNION ALL SELECT 'user', userId, n FROM top_users""",
+        ),
+        "svd_matrix": query(
+            RATINGS,
+            top_items,
+            select="""SELECT userId, movieId, round(avg(rating), 6) AS rating FROM ratings
+WHERE movieId IN (SELECT movieId FROM top_movies) AND userId IN (SELECT userId FROM top_users)
+GROUP BY userId, movieId""",
+        ),
+        "favourite_seeds": query(RATINGS, MOVIES, seeds, select="SELECT userId, seed, title FROM seeds"),
+        "merge_scored": query(
+            RATINGS,
+            MOVIES,
+            RATED,
+            """listed AS (
+  SELECT step, userId, title, total AS score
+  FROM (SELECT userId, movieId, sum(rating) AS total FROM ratings GROUP BY userId, movieId) r
+  CROSS JOIN (VALUES (1), (2)) s(step)
+  JOIN movies m ON m.movieId = (r.movieId + step) % (SELECT count(*) FROM movies)),
+lists AS (
+  SELECT 'collab' AS source, 0.4::DOUBLE AS weight, userId, title, score FROM listed WHERE step = 1
+  UNION ALL SELECT 'content', 0.3::DOUBLE, userId, title, score FROM listed WHERE step = 2
+  UNION ALL SELECT 'svd', 0.3::DOUBLE, userId, title, score FROM listed WHERE step = 1)""",
+            merged("lists"),
+            select="SELECT * FROM hybrid",
+        ),
+        "hybrid_without_svd": query(
+            RATINGS,
+            MOVIES,
+            RATED,
+            DENSE,
+            MATRIX,
+            NEIGHBOURS,
+            collab(50),
+            METADATA,
+            SOUP,
+            ITEMS,
+            TERMS,
+            similar_lists(80),
+            seeds,
+            """lists AS (
+  SELECT 'collab' AS source, 0.4::DOUBLE AS weight, userId, title, score FROM collab JOIN movies USING (movieId)
+  UNION ALL
+  SELECT 'content', 0.3::DOUBLE, s.userId, n.title, round(n.score, 4)
+  FROM seeds s JOIN items i ON lower(i.title) = lower(s.title)
+  JOIN (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY position) AS place FROM shown
+        QUALIFY place <= 20) n ON n.seed = i.id)""",
+            merged("lists"),
+            select="SELECT * FROM hybrid",
+        ),
+    }
+
+
+def sentiment_queries() -> dict[str, str]:
+    scores = (REVIEWS, LEX, CORE)
+    recs = (RATINGS, MOVIES, DENSE, MATRIX, NEIGHBOURS, collab(10), SCORED_LIST)
+    return {
+        "lexicon_core": query(*scores, select="SELECT review_id, compound FROM scores"),
+        "item_sentiment": query(
+            *scores,
+            select="""SELECT movieId, round(avg(compound), 6) AS sentiment, count(*) AS n_reviews,
+  CASE WHEN (avg(compound) + 1) / 2 > 0.7 THEN 'Loved' WHEN (avg(compound) + 1) / 2 > 0.4 THEN 'Liked'
+  ELSE 'Mixed' END AS audience
+FROM scores GROUP BY movieId""",
+        ),
+        "lexicon_accuracy": query(
+            *scores,
+            shuffled("scores", 42, "review_id"),
+            select="""SELECT count(*) AS n,
+  count(*) FILTER (WHERE (compound > 0) = (sentiment = 'positive')) AS correct
+FROM shuffled WHERE position <= 250""",
+        ),
+        "sentiment_fallback": query(
+            *scores,
+            select="""SELECT review_id, round(CASE WHEN toxic = 1 THEN 1.0 ELSE (compound + 1) / 2 END, 5) AS score
+FROM scores JOIN labels ON doc_id = review_id""",
+        ),
+        "rerank_with_sentiment": query(*recs, *scores, RERANKED, select="SELECT * FROM reranked"),
+        "recommendation_tiles": query(
+            *recs,
+            *scores,
+            RERANKED,
+            select=f"""SELECT userId, rank, {strip(yearless('title'))} AS title,
+  floor(final_score / max(final_score) OVER (PARTITION BY userId) * 100)::INTEGER AS percent,
+  CASE WHEN sentiment_score > 0.7 THEN 'Loved' WHEN sentiment_score > 0.4 THEN 'Liked' ELSE 'Mixed' END AS audience,
+  'other' AS category
+FROM reranked""",
+        ),
+        "genres_by_title": query(
+            MOVIES,
+            METADATA,
+            "asked AS (SELECT DISTINCT title FROM (SELECT title FROM movies UNION ALL SELECT raw_title FROM metadata))",
+            select=f"""SELECT a.title, arg_min(m.genres, m.movieId) AS genres
+FROM asked a JOIN movies m ON contains(lower(m.title), lower({yearless('a.title')})) GROUP BY a.title""",
+        ),
+        "explained": query(
+            *recs,
+            *scores,
+            RERANKED,
+            RATED,
+            TASTE,
+            f"""found AS (
+  SELECT a.title, arg_min(m.genres, m.movieId) AS genres
+  FROM (SELECT DISTINCT title FROM reranked) a
+  JOIN movies m ON contains(lower(m.title), lower({yearless('a.title')})) GROUP BY a.title),
+facts AS (
+  SELECT r.*, top_decade, top_movies, {year('r.title')} // 10 * 10 AS decade,
+         list_filter(coalesce(top_genres, []),
+           lambda g: list_contains(string_split(replace(coalesce(genres, ''), ' ', '|'), '|'), g)) AS shared
+  FROM reranked r LEFT JOIN found USING (title) LEFT JOIN taste USING (userId)),
+reasons AS (
+  SELECT *, list_filter([
+    CASE WHEN len(shared) > 0 THEN concat('Matches your love of ', array_to_string(shared[1:2], ' & ')) END,
+    CASE WHEN decade = top_decade THEN concat('From the ', top_decade, 's — your favourite era') END,
+    CASE WHEN sentiment_score > 0.75 THEN 'Audiences absolutely loved this film'
+         WHEN sentiment_score > 0.6 THEN 'Consistently strong audience reception' END,
+    CASE WHEN len(top_movies) > 0 THEN concat('Because you liked ', {yearless('top_movies[1]')}) END],
+    lambda x: x IS NOT NULL) AS held
+  FROM facts)""",
+            select="""SELECT userId, rank, title, CASE WHEN len(held) = 0
+  THEN 'Highly rated by users with similar taste to you' ELSE array_to_string(held[1:2], ' · ') END AS explanation
+FROM reasons""",
+        ),
+        "attribution_text": query(
+            REVIEWS,
+            LEX,
+            f"""said AS (
+  SELECT review_id, token AS word, valence AS weight,
+         row_number() OVER (PARTITION BY review_id ORDER BY abs(valence) DESC, token) AS rank
+  FROM (SELECT DISTINCT review_id, unnest({tokens('review')}) AS token FROM reviews) JOIN lexicon USING (token)
+  QUALIFY rank <= 8),
+signs AS (
+  SELECT review_id, list(word ORDER BY rank) FILTER (WHERE weight > 0) AS good,
+         list(word ORDER BY rank) FILTER (WHERE weight < 0) AS bad
+  FROM said GROUP BY review_id)""",
+            select="""SELECT review_id, concat_ws(' | ',
+  CASE WHEN len(good) > 0 THEN concat('Positive signals: ', array_to_string(good[1:4], ', ')) END,
+  CASE WHEN len(bad) > 0 THEN concat('Negative signals: ', array_to_string(bad[1:4], ', ')) END) AS summary
+FROM signs""",
+        ),
+    }
+
+
+def oracle_sql() -> dict[str, str]:
+    return {
+        **source_queries(),
+        **function_queries(),
+        **profile_queries(),
+        **collab_queries(),
+        **content_queries(),
+        **title_queries(),
+        **ensemble_queries(),
+        **sentiment_queries(),
+    }

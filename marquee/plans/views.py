@@ -8,6 +8,25 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# Stop words and a small lexicon that occur in the test texts.
+STOP_WORDS = "the of and to in is that it for was on with be as by this are at from".split()
+LEXICON = (
+    ("worthless", -1.9),
+    ("stupid", -2.4),
+    ("than", 0.7),
+    ("thing", 1.3),
+    ("there", -0.9),
+    ("thin", -0.4),
+    ("then", 1.1),
+    ("rest", 1.5),
+    ("ring", 0.6),
+    ("resting", 1.2),
+    ("rent", -0.5),
+    ("sting", -1.4),
+    ("heating", 0.3),
+    ("seres", 0.8),
+)
+
 
 @dataclass(frozen=True)
 class Views:
@@ -70,3 +89,86 @@ class Views:
             F.col("text").alias("review"),
             F.when(F.col("quality") == 1, "positive").otherwise("negative").alias("sentiment"),
         )
+
+    # Messier forms of the same rows, for loaders and title matching.
+
+    @cached_property
+    def raw_metadata(self) -> DataFrame:
+        return self.metadata.select(
+            F.expr(
+                "CASE WHEN id % 11 = 5 THEN concat(id, '-01') WHEN id % 7 = 3 THEN concat(' ', id, ' ') "
+                "ELSE string(id) END"
+            ).alias("id"),
+            "title",
+            F.expr(
+                "CASE WHEN id % 13 = 0 THEN 'not a list' ELSE concat('[{''id'': 1, ''name'': ''', "
+                "split_part(genre_names, ' ', 1), '''}, {''id'': None, ''name'': \"', "
+                "split_part(genre_names, ' ', 2), '\"}]') END"
+            ).alias("genres"),
+            "overview",
+            "release_date",
+            F.lit("").alias("vote_average"),
+            F.expr("CASE WHEN id % 17 = 0 THEN 'many' ELSE string(vote_count) END").alias("vote_count"),
+            "original_language",
+        )
+
+    @cached_property
+    def raw_keywords(self) -> DataFrame:
+        return self.table("part").where("p_partkey % 3 <> 0").select(
+            F.col("p_partkey").cast("string").alias("id"),
+            F.expr(
+                "concat('[{''id'': ', p_size, ', ''name'': ''', p_name, '''}, {''name'': ''size ', p_size, '''}]')"
+            ).alias("keywords"),
+        )
+
+    @cached_property
+    def raw_credits(self) -> DataFrame:
+        return self.table("part").where("p_partkey % 4 <> 1").select(
+            F.col("p_partkey").cast("string").alias("id"),
+            F.expr(
+                "concat('[{''name'': ''Ann ', p_type, '''}, {''name'': ''Bo ', p_size % 7, '''}, "
+                "{''name'': ''Cy''}, {''name'': ''Di''}]')"
+            ).alias("cast"),
+            F.expr(
+                "concat('[{', CASE WHEN p_partkey % 5 = 2 THEN '' ELSE '''job'': ''Writer'', ' END, "
+                "'''name'': ''W''}, {''job'': ''Director'', ''name'': ''Dir ', p_partkey % 97, '''}]')"
+            ).alias("crew"),
+        )
+
+    @cached_property
+    def odd_titles(self) -> DataFrame:
+        """Catalogue titles with articles, accents, stray blanks, or no year."""
+        return self.table("part").select(
+            F.col("p_partkey").alias("movieId"),
+            F.expr(
+                """CASE p_partkey % 6
+                WHEN 0 THEN concat(initcap(p_name), ', The (', 1950 + p_size, ')')
+                WHEN 1 THEN concat(initcap(p_name), ', A Tale (', 1950 + p_size, ') ')
+                WHEN 2 THEN concat(' The  ', p_name, '''s: an Élan!')
+                WHEN 3 THEN concat(p_name, ' (', 1950 + p_size, ') ', p_partkey)
+                WHEN 4 THEN concat(chr(160), upper(p_name), '_a-', p_size, '\t')
+                ELSE concat(p_name, ' ', p_partkey, ' (', 1950 + p_size, ')') END"""
+            ).alias("title"),
+        )
+
+    @cached_property
+    def title_queries(self) -> DataFrame:
+        """Titles as typed: shouted, with an article and punctuation, or unknown."""
+        return self.metadata.select(
+            F.expr(
+                """CASE id % 3 WHEN 0 THEN concat(' ', upper(title)) WHEN 1 THEN concat('The ', title, '!')
+                ELSE concat(title, ' returns') END"""
+            ).alias("title")
+        )
+
+    @cached_property
+    def misspelt(self) -> DataFrame:
+        """Titles with a letter left out, words swapped, or buried in a longer text."""
+        return self.metadata.select(
+            F.expr(
+                """CASE id % 4 WHEN 0 THEN concat(substr(title, 1, 2), substr(title, 4))
+                WHEN 1 THEN concat(id, ' ', raw_title)
+                WHEN 2 THEN concat('somewhere beyond the quiet hills we looked for ', title, ' every single day')
+                ELSE title END"""
+            ).alias("title")
+        )
