@@ -22,19 +22,20 @@ from marquee.operators.ranking import top_n
 from marquee.session import shuffle_partitions
 
 BLOCK_ROWS = 2048
-SLAB_DIMENSIONS = 1024
+SLAB_DIMENSIONS = 2048
+PACKED_ROWS = 16
 SCORE_DIGITS = 9
 
 _DENSE_RATIO = 64  # a pair product is about this many times dearer one by one than in a matrix product
 _PAIRS_AT_ONCE = 1 << 22
 
 
-def block_count(rows: DataFrame, block_rows: int = BLOCK_ROWS) -> Column:
-    """Number of blocks as a scalar subquery; a few even for small tables, to use all cores."""
+def block_count(rows: DataFrame, block_rows: int = BLOCK_ROWS, spread: int = 4) -> Column:
+    """Number of blocks as a scalar subquery; up to ``spread`` for small tables, to use all cores."""
     n = F.count("*")
-    fitting = F.ceil(n / block_rows)
-    spread = F.least(F.lit(4), F.ceil(n * 8 / block_rows))
-    return rows.agg(F.greatest(fitting, spread, F.lit(1)).cast("int").alias("n")).scalar()
+    fitting, smaller = F.ceil(n / block_rows), F.ceil(n * 8 / block_rows)
+    blocks = F.greatest(fitting, F.least(F.lit(spread), smaller), F.lit(1))
+    return rows.agg(blocks.cast("int").alias("n")).scalar()
 
 
 def place(items: DataFrame, blocks: Column) -> DataFrame:
@@ -46,7 +47,11 @@ def place(items: DataFrame, blocks: Column) -> DataFrame:
 
 
 def _entries(placed: DataFrame, vectors: DataFrame, slabs: Column) -> DataFrame:
-    """Block entries: one header row per id (slab -1) and one row per vector component."""
+    """Block entries packed by slab: ids and biases under slab -1, components under theirs.
+
+    A packed row holds the components of a few neighbouring positions in one slab, so
+    its size is bounded and the copies made for every pair of blocks are few.
+    """
     header = placed.select(
         "block",
         "pos",
@@ -61,7 +66,12 @@ def _entries(placed: DataFrame, vectors: DataFrame, slabs: Column) -> DataFrame:
         "dim",
         "weight",
     )
-    return header.unionByName(components)
+    return (
+        header.unionByName(components)
+        .groupBy("block", "slab", F.floor(F.col("pos") / PACKED_ROWS).alias("part"))
+        .agg(F.collect_list(F.struct("pos", "dim", "weight")).alias("entries"))
+        .drop("part")
+    )
 
 
 def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -113,10 +123,10 @@ def _add_products(acc: np.ndarray, left: tuple, right: tuple) -> None:
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], list[np.ndarray]]]:
-    """Join the sorted batches into one run of arrays per (pair, slab)."""
+    """Unpack the sorted batches into one run of (side, pos, dim, weight) per (pair, slab)."""
     held, parts = None, []
     for batch in batches:
-        pair, slab, *rest = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+        pair, slab, side = (batch.column(i).to_numpy() for i in range(3))
         if not len(pair):
             continue
         cuts = np.nonzero((np.diff(pair) != 0) | (np.diff(slab) != 0))[0] + 1
@@ -126,7 +136,9 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int],
                 yield held, [np.concatenate(p) for p in zip(*parts)]
                 parts = []
             held = key
-            parts.append([c[lo:hi] for c in rest])
+            packed = batch.column(3).slice(lo, hi - lo)
+            sizes = packed.value_lengths().to_numpy()
+            parts.append([np.repeat(side[lo:hi], sizes), *(c.to_numpy() for c in packed.flatten().flatten())])
     if held is not None:
         yield held, [np.concatenate(p) for p in zip(*parts)]
 
@@ -189,9 +201,8 @@ def _slab_count(vectors: DataFrame) -> Column:
 
 def _stream(paired: DataFrame, kernel) -> DataFrame:
     n = shuffle_partitions(paired.sparkSession) * 2
-    columns = ["pair", "slab", "side", "pos", "dim", "weight"]
     return (
-        paired.select(*columns)
+        paired.select("pair", "slab", "side", "entries")
         .repartitionById(n, F.pmod("pair", F.lit(n)).cast("int"))
         .sortWithinPartitions("pair", "slab")
         .mapInArrow(kernel, "query_id long, id long, score double")

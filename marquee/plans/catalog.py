@@ -270,7 +270,7 @@ def collab_shape(v: Views) -> DataFrame:
 @registered
 def user_neighbours(v: Views) -> DataFrame:
     found = collab.user_neighbours(collab.user_item_means(_dense(v)))
-    return found.withColumn("similarity", F.round("similarity", 6))
+    return found
 
 
 def _collab(v: Views, n: int = 10) -> DataFrame:
@@ -329,7 +329,7 @@ def similar_items(v: Views) -> DataFrame:
     model = _content(v)
     seeds = model.items.select(F.col("id").alias("seed_id"), "id")
     found = content.similar_items(model, seeds, min_votes=MIN_VOTES, all_items=True)
-    return found.select("seed_id", "rank", "id", F.round("score", 6).alias("score"))
+    return found.select("seed_id", "rank", "id", "score")
 
 
 @registered
@@ -343,7 +343,7 @@ def similar_filtered(v: Views) -> DataFrame:
         F.when(F.col("id") % 2 == 0, F.col("original_language")).alias("lang"),
     )
     found = content.similar_items(model, seeds, 20, min_votes=MIN_VOTES, all_items=True)
-    return content.as_shown(found, 6)
+    return content.as_shown(found, 9)
 
 
 @registered
@@ -352,7 +352,7 @@ def similar(v: Views) -> DataFrame:
     requests = v.movies.select(
         F.col("movieId").alias("request_id"), text.seed_title(F.col("title")).alias("title")
     )
-    return top.similar(_content(v), requests, min_votes=MIN_VOTES, fuzzy=False, all_items=True, digits=6)
+    return top.similar(_content(v), requests, min_votes=MIN_VOTES, fuzzy=False, all_items=True, digits=9)
 
 
 # --- titles ----------------------------------------------------------------------------
@@ -480,7 +480,7 @@ def item_sentiment(v: Views) -> DataFrame:
     means = sentiment.item_sentiment(_scores(v))
     return means.select(
         "movieId",
-        F.round("sentiment", 6).alias("sentiment"),
+        F.round("sentiment", 9).alias("sentiment"),
         "n_reviews",
         display.audience_label(sentiment.unit_range(F.col("sentiment"))).alias("audience"),
     )
@@ -518,7 +518,7 @@ def _scored_list(v: Views) -> DataFrame:
 
 def _reranked(v: Views) -> DataFrame:
     heard = sentiment.audience(_scores(v), v.movies)
-    return sentiment.rerank_with_sentiment(_scored_list(v), heard, digits=6)
+    return sentiment.rerank_with_sentiment(_scored_list(v), heard, digits=9)
 
 
 @registered

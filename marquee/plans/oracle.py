@@ -216,7 +216,7 @@ blend AS (
   FROM scored_list LEFT JOIN heard ON lower({lookup('title')}) = key),
 reranked AS (
   SELECT userId, row_number() OVER (PARTITION BY userId ORDER BY final DESC, title) AS rank, title,
-         hybrid_score, round(heard, 6) AS sentiment_score, round(final, 6) AS final_score
+         hybrid_score, round(heard, 9) AS sentiment_score, final AS final_score
   FROM blend)"""
 
 TASTE = f"""liked_genres AS (
@@ -430,7 +430,7 @@ def collab_queries() -> dict[str, str]:
         "user_neighbours": query(
             *base,
             NEIGHBOURS,
-            select="SELECT userId, rank, neighbour, round(similarity, 6) AS similarity FROM neighbours",
+            select="SELECT userId, rank, neighbour, similarity FROM neighbours",
         ),
         "collab_recommendations": query(
             *base, NEIGHBOURS, collab(10), select="SELECT userId, rank, movieId, score FROM collab"
@@ -468,13 +468,13 @@ def content_queries() -> dict[str, str]:
             *model,
             similar_lists(40),
             select="""SELECT seed AS seed_id, row_number() OVER (PARTITION BY seed ORDER BY position) AS rank, id,
-  round(score, 6) AS score FROM shown QUALIFY rank <= 10""",
+  score FROM shown QUALIFY rank <= 10""",
         ),
         "similar_filtered": query(
             *model,
             similar_lists(80),
             select="""SELECT seed AS seed_id, row_number() OVER (PARTITION BY seed ORDER BY position) AS rank,
-  n.title, n.genre_names, round(score, 6) AS similarity_score, n.vote_count::BIGINT AS vote_count,
+  n.title, n.genre_names, score AS similarity_score, n.vote_count::BIGINT AS vote_count,
   n.original_language
 FROM shown n JOIN items s ON s.id = n.seed
 WHERE contains(lower(n.genre_names), lower(split_part(s.genre_names, ' ', 1)))
@@ -486,7 +486,7 @@ QUALIFY rank <= 20""",
             similar_lists(40),
             MOVIES,
             select=f"""SELECT movieId AS request_id, row_number() OVER (PARTITION BY movieId ORDER BY position) AS rank,
-  n.title, n.genre_names, round(score, 6) AS similarity_score, n.vote_count::BIGINT AS vote_count,
+  n.title, n.genre_names, score AS similarity_score, n.vote_count::BIGINT AS vote_count,
   n.original_language
 FROM movies m JOIN items s ON lower(s.title) = lower({lookup('m.title')}) JOIN shown n ON s.id = n.seed
 QUALIFY rank <= 10""",
@@ -590,7 +590,7 @@ def sentiment_queries() -> dict[str, str]:
         "lexicon_core": query(*scores, select="SELECT review_id, compound FROM scores"),
         "item_sentiment": query(
             *scores,
-            select="""SELECT movieId, round(avg(compound), 6) AS sentiment, count(*) AS n_reviews,
+            select="""SELECT movieId, round(avg(compound), 9) AS sentiment, count(*) AS n_reviews,
   CASE WHEN (avg(compound) + 1) / 2 > 0.7 THEN 'Loved' WHEN (avg(compound) + 1) / 2 > 0.4 THEN 'Liked'
   ELSE 'Mixed' END AS audience
 FROM scores GROUP BY movieId""",

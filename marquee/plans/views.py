@@ -34,7 +34,12 @@ class Views:
     folder: str
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        """A test table; one small file is spread over the cores, larger inputs are split by their scan."""
+        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        cores = self.spark.sparkContext.defaultParallelism
+        if name in ("lineitem", "documents") and df.rdd.getNumPartitions() < cores:
+            return df.repartition(cores)
+        return df
 
     @cached_property
     def ratings(self) -> DataFrame:
