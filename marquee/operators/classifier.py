@@ -29,11 +29,14 @@ def train_classifier(
 
 def score_reviews(model: PipelineModel, reviews: DataFrame) -> DataFrame:
     """``reviews`` with the probability that each is positive; NULL text has none."""
-    kept = reviews.columns
-    scored = model.transform(reviews.withColumn("review", F.coalesce("review", F.lit(""))))
-    missing = reviews.where(F.col("review").isNull()).withColumn("probability", F.lit(None).cast("double"))
-    told = scored.withColumn("probability", vector_to_array("probability")[1]).select(*kept, "probability")
-    return told.where(F.col("review") != "").unionByName(missing)
+    filled = reviews.withColumns(
+        {"has_text": F.col("review").isNotNull(), "review": F.coalesce("review", F.lit(""))}
+    )
+    positive = F.when(F.col("has_text"), vector_to_array("probability")[1])
+    kept = {c: F.when(F.col("has_text"), F.col(c)) if c == "review" else F.col(c) for c in reviews.columns}
+    return model.transform(filled).select(
+        *(column.alias(name) for name, column in kept.items()), positive.alias("probability")
+    )
 
 
 def validation_metrics(model: PipelineModel, validation: DataFrame) -> dict[str, object]:

@@ -1,0 +1,95 @@
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from marquee.operators import blocks
+
+
+def dataset(n, dims, seed, hot=True):
+    rng = np.random.default_rng(seed)
+    matrix = np.where(rng.random((n, dims)) < 0.08, rng.integers(1, 11, (n, dims)) / 2, 0.0)
+    if hot:
+        matrix[:, 0] = rng.integers(1, 11, n) / 2  # every row meets in one dimension
+    matrix[3] = 0.0
+    matrix[5] = matrix[6]
+    return np.arange(n) * 7 - 20, matrix, rng.integers(0, 4, n) / 8
+
+
+def frames(spark, ids, matrix, bias):
+    items = spark.createDataFrame([(int(i), float(b)) for i, b in zip(ids, bias)], "id long, bias double")
+    cells = [(int(ids[r]), int(d) * 3, float(matrix[r, d])) for r, d in zip(*np.nonzero(matrix))]
+    return items, spark.createDataFrame(cells, "id long, dim long, weight double")
+
+
+def expected(q_ids, q, ids, matrix, bias, k, scale, positive, keep_self):
+    out = {}
+    for i, row in zip(q_ids, q):
+        dots = matrix @ row
+        scores = np.round(scale * dots + bias, 9)
+        keep = np.ones(len(ids), bool)
+        if positive:
+            keep &= dots > 0
+        if not keep_self:
+            keep &= ids != i
+        order = [j for j in np.lexsort((ids, -scores)) if keep[j]][:k]
+        for rank, j in enumerate(order, 1):
+            out[(int(i), rank)] = (int(ids[j]), scores[j])
+    return out
+
+
+def collected(df):
+    return {(r.query_id, r["rank"]): (r.id, r.score) for r in df.collect()}
+
+
+@pytest.mark.parametrize("block_rows, positive, scale", [(16, False, 0.65), (16, True, 1.0), (500, False, 1.0)])
+def test_nearest_among_matches_brute_force(spark, block_rows, positive, scale):
+    ids, matrix, bias = dataset(90, 40, 1)
+    items, vectors = frames(spark, ids, matrix, bias)
+    found = blocks.nearest_among(items, vectors, 7, scale, positive, block_rows)
+    assert collected(found) == expected(ids, matrix, ids, matrix, bias, 7, scale, positive, False)
+
+
+@pytest.mark.parametrize("keep_self", [False, True])
+def test_nearest_for_some_queries(spark, keep_self):
+    ids, matrix, bias = dataset(90, 40, 2)
+    items, vectors = frames(spark, ids, matrix, bias)
+    some = [int(i) for i in ids[::4]]
+    queries = items.where(F.col("id").isin(some)).select("id")
+    own = vectors.where(F.col("id").isin(some))
+    found = blocks.nearest(queries, own, items, vectors, 5, block_rows=16, keep_self=keep_self)
+    assert collected(found) == expected(ids[::4], matrix[::4], ids, matrix, bias, 5, 1.0, False, keep_self)
+
+
+def test_result_does_not_depend_on_partitioning(spark):
+    ids, matrix, bias = dataset(60, 30, 3)
+    items, vectors = frames(spark, ids, matrix, bias)
+    one = collected(blocks.nearest_among(items.coalesce(1), vectors.coalesce(1), 5, block_rows=16))
+    many = collected(blocks.nearest_among(items.repartition(9), vectors.repartition(11), 5, block_rows=8))
+    assert one == many
+
+
+def test_slab_accumulation_of_dense_and_sparse_parts():
+    rng = np.random.default_rng(0)
+    left, right = (np.where(rng.random((50, 300)) < p, rng.random((50, 300)), 0.0) for p in (0.3, 0.02))
+    acc = np.zeros((50, 50))
+    sides = []
+    for m in (left, right):
+        pos, dim = np.nonzero(m)
+        sides.append((pos, dim.astype(np.int64), m[pos, dim]))
+    blocks._add_products(acc, *sides)
+    assert np.allclose(acc, left @ right.T)
+
+
+def test_empty_and_single(spark):
+    ids, matrix, bias = dataset(20, 10, 4)
+    items, vectors = frames(spark, ids, matrix, bias)
+    assert blocks.nearest_among(items.limit(0), vectors.limit(0), 3).count() == 0
+    assert blocks.nearest_among(items.limit(1), vectors, 3).count() == 0
+
+
+def test_no_pair_join_in_the_plan(spark):
+    ids, matrix, bias = dataset(20, 10, 4)
+    items, vectors = frames(spark, ids, matrix, bias)
+    plan = blocks.nearest_among(items, vectors, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+    assert "WindowGroupLimit" in plan

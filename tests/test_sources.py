@@ -1,0 +1,86 @@
+import pytest
+from pyspark.sql import functions as F
+
+from marquee.sources import sampling, tables
+
+
+def write(folder, name, content):
+    (folder / name).write_text(content, encoding="utf-8")
+
+
+def test_ratings_and_movies_by_either_name(spark, tmp_path):
+    write(tmp_path, "rating.csv", "userId,movieId,rating,timestamp\n1,10,4.5,99\n1,11,3.0,99\n")
+    write(tmp_path, "movies.csv", 'movieId,title,genres\n10,"Matrix, The (1999)",Action|Sci-Fi\n')
+    ratings = tables.load_ratings(spark, str(tmp_path))
+    assert sorted(map(tuple, ratings.collect())) == [(1, 10, 4.5), (1, 11, 3.0)]
+    assert ratings.schema.simpleString() == "struct<userId:bigint,movieId:bigint,rating:double>"
+    assert tables.load_movies(spark, str(tmp_path)).first().title == "Matrix, The (1999)"
+    with pytest.raises(FileNotFoundError):
+        tables.load_ratings(spark, str(tmp_path / "none"))
+
+
+METADATA = '''id,title,genres,overview,release_date,vote_average,vote_count,original_language,extra
+862,Toy Story,"[{'id': 16, 'name': 'Animation'}]","Two
+lines, ""quoted""",1995-10-30,7.7,5415,en,x
+ 5 ,NA,junk,,1995-01-01,,many,fr,x
+1997-08-20,Bad,[],x,1997-01-01,1,1,en,x
+1.0,Bad,[],x,1997-01-01,1,1,en,x
+862,Toy Copy,"[{'name': 'Drama'}]",x,1995-10-30,7.7,12,en,x
+'''
+
+
+def test_metadata_without_optional_files(spark, tmp_path):
+    write(tmp_path, "movies_metadata.csv", METADATA)
+    rows = {r.id: r for r in tables.load_metadata(spark, str(tmp_path)).collect()}
+    assert set(rows) == {862, 5}
+    assert rows[862].title == "Toy Story" and rows[862].vote_count == 5415
+    assert rows[862].overview == 'Two\nlines, "quoted"' and rows[862].genre_names == "Animation"
+    assert (rows[5].title, rows[5].genre_names, rows[5].vote_count) == ("NA", "", 0.0)
+    assert (rows[5].keyword_names, rows[5].cast_names, rows[5].director_name) == ("", "", "")
+
+
+def test_metadata_with_keywords_and_credits(spark, tmp_path):
+    write(tmp_path, "movies_metadata.csv", METADATA)
+    write(tmp_path, "keywords.csv", "id,keywords\n862,\"[{'name': 'toy box'}]\"\n862,\"[{'name': 'toy box'}]\"\n")
+    write(tmp_path, "credits.csv", "cast,crew,id\n\"[{'name': 'Tom Hanks'}]\",\"[{'job': 'Director', 'name': 'J L'}]\",862\n")
+    rows = {r.id: r for r in tables.load_metadata(spark, str(tmp_path)).collect()}
+    assert (rows[862].keyword_names, rows[862].cast_names, rows[862].director_name) == ("toybox", "TomHanks", "JL")
+    assert rows[5].keyword_names == ""
+
+
+def test_reviews(spark, tmp_path):
+    write(tmp_path, "IMDB Dataset.csv", 'review,sentiment\n"A<br /><br />great, film",positive\nBad,negative\n')
+    rows = tables.load_reviews(spark, str(tmp_path)).collect()
+    assert [(r.review, r.label) for r in rows] == [("A great, film", 1), ("Bad", 0)]
+
+
+def test_observed_count(spark):
+    df, seen = tables.counted(spark.range(7), "load")
+    df.write.format("noop").mode("overwrite").save()
+    assert seen.get == {"n_rows": 7}
+
+
+def test_sample_is_exact_and_independent_of_partitioning(spark):
+    df = spark.range(5000).withColumn("x", F.col("id") % 7)
+    first = {r.id for r in sampling.sample_rows(df, 1234, ["id"]).collect()}
+    again = {r.id for r in sampling.sample_rows(df.repartition(13), 1234, ["id"]).collect()}
+    assert len(first) == 1234 and first == again
+    assert {r.id for r in sampling.sample_rows(df, 1234, ["id"], seed=1).collect()} != first
+    assert sampling.sample_rows(df, 9999, ["id"]).count() == 5000
+    assert sampling.sample_rows(df.where("false"), 5, ["id"]).count() == 0
+
+
+def test_sample_with_one_row_repeated_many_times(spark):
+    hot = spark.range(30000).select(F.lit(1).alias("userId"), F.lit(2).alias("movieId"), F.lit(5.0).alias("rating"))
+    cold = spark.range(20000).select(F.col("id").cast("int").alias("userId"), F.lit(3).alias("movieId"), F.lit(1.0).alias("rating"))
+    sampled = tables.sample_ratings(hot.unionByName(cold), 10000)
+    n_hot = sampled.where("movieId = 2").count()
+    assert sampled.count() == 10000 and 5700 < n_hot < 6300
+
+
+def test_split_parts_are_disjoint_and_exact(spark):
+    split = sampling.train_validation_split(spark.range(1000), ["id"], 600, 300)
+    sizes = {r.part: r["count"] for r in split.groupBy("part").count().collect()}
+    assert sizes == {"train": 600, "validation": 300} and split.select("id").distinct().count() == 900
+    order = sampling.shuffled_position(spark.range(500), ["id"]).select("position").distinct()
+    assert order.agg(F.min("position"), F.max("position"), F.count("*")).first()[:] == (1, 500, 500)
