@@ -76,15 +76,18 @@ def _entries(placed: DataFrame, vectors: DataFrame, slabs: Column) -> DataFrame:
 
 def _best(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Row and column of the k best scores per row; equal scores go to the leftmost column."""
-    if scores.shape[1] > k:
-        kth = np.partition(scores, -k, axis=1)[:, -k][:, None]
-        above = scores > kth
-        level = scores == kth
-        room = k - above.sum(axis=1, keepdims=True)
-        chosen = above | (level & (np.cumsum(level, axis=1) <= room))
-    else:
-        chosen = np.ones(scores.shape, dtype=bool)
-    return np.nonzero(chosen & (scores > -np.inf))
+    if scores.shape[1] <= k:
+        return np.nonzero(scores > -np.inf)
+    kth = np.partition(scores, -k, axis=1)[:, -k]
+    row, col = np.nonzero((scores >= kth[:, None]) & (scores > -np.inf))
+    level = scores[row, col] == kth[row]
+    n_rows = len(scores)
+    room = k - np.bincount(row[~level], minlength=n_rows)
+    ties = np.cumsum(level) - 1  # place among all ties, then among those of the row
+    per_row = np.bincount(row[level], minlength=n_rows)
+    place = ties - (np.cumsum(per_row) - per_row)[row]
+    keep = ~level | (place < room[row])
+    return row[keep], col[keep]
 
 
 def _add_products(acc: np.ndarray, left: tuple, right: tuple) -> None:

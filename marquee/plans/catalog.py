@@ -421,8 +421,10 @@ def merge_scored(v: Views) -> DataFrame:
     shifted = v.ratings.groupBy("userId", "movieId").agg(F.sum("rating").alias("total"))
     n_items = v.movies.agg(F.count("*").alias("n")).scalar()
 
+    best = ranking.top_n(shifted, ["userId"], [F.desc("total"), F.asc("movieId")], top.LIST_LENGTH)
+
     def listed(step: int, name: str) -> DataFrame:
-        return shifted.select(
+        return best.select(
             "userId", F.pmod(F.col("movieId") + step, n_items).alias("movieId"), F.col("total").alias(name)
         )
 
@@ -438,7 +440,8 @@ def merge_scored(v: Views) -> DataFrame:
 
 
 def _models(v: Views, with_svd: bool) -> top.Models:
-    return top.build_models(v.ratings, v.movies, v.metadata, **CUTS, stop_words=STOP_WORDS, with_svd=with_svd)
+    ratings = stage(v.ratings, "ratings")  # a join here, a table elsewhere
+    return top.build_models(ratings, v.movies, v.metadata, **CUTS, stop_words=STOP_WORDS, with_svd=with_svd)
 
 
 @registered

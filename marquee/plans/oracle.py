@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from marquee.operators.sentiment import NEGATIONS, STRONGER, WEAKER
 from marquee.plans.views import LEXICON, STOP_WORDS
 
 RATINGS = """ratings AS (
@@ -141,7 +142,7 @@ def category(x: str) -> str:
 
 
 def quoted(values) -> str:
-    return ", ".join(f"'{value}'" for value in values)
+    return ", ".join("'" + value.replace("'", "''") + "'" for value in values)
 
 
 LEX = "lexicon(token, valence) AS (VALUES " + ", ".join(f"('{t}', {v}::DOUBLE)" for t, v in LEXICON) + ")"
@@ -207,6 +208,48 @@ scores AS (
          round(round(coalesce(total, 0), 9) / sqrt(round(coalesce(total, 0), 9) ** 2 + 15), 6) AS compound
   FROM reviews LEFT JOIN hits USING (review_id))"""
 
+
+
+def neighbour_step(before: str, value: str, damping: float) -> str:
+    """The value after one preceding word has strengthened, weakened or negated it."""
+    step = f"CASE WHEN {before} IN ({quoted(STRONGER)}) THEN 0.293 WHEN {before} IN ({quoted(WEAKER)}) THEN -0.293 ELSE 0 END"
+    negated = f"CASE WHEN {before} IN ({quoted(NEGATIONS)}) THEN -0.74 ELSE 1 END"
+    return f"({value} + sign({value}) * {step} * {damping}) * {negated}"
+
+
+RULES = rf"""split AS (
+  SELECT doc_id, ws, unnest(ws) AS said, generate_subscripts(ws, 1) AS place
+  FROM (SELECT doc_id, {words('text')} AS ws FROM documents)),
+said AS (
+  SELECT doc_id, place, said, regexp_matches(said, '^[^\p{{Ll}}]*\p{{Lu}}[^\p{{Ll}}]*$') AS loud,
+         regexp_replace(said, '^\p{{P}}+|\p{{P}}+$', '', 'g') AS bare FROM split),
+told AS (
+  SELECT doc_id, place, loud, said, lower(CASE WHEN length(bare) > 2 THEN bare ELSE said END) AS word FROM said),
+around AS (
+  SELECT *, lag(word, 1, '') OVER p AS b1, lag(word, 2, '') OVER p AS b2, lag(word, 3, '') OVER p AS b3,
+         bool_or(loud) OVER d AND bool_or(NOT loud) OVER d AS mixed,
+         coalesce(min(CASE WHEN regexp_matches(said, '^(?i)\p{{P}}*but\p{{P}}*$') THEN place END) OVER d, 0) AS but
+  FROM told WINDOW p AS (PARTITION BY doc_id ORDER BY place), d AS (PARTITION BY doc_id)),
+v0 AS (
+  SELECT *, (valence + CASE WHEN mixed AND regexp_matches(said, '^[^\p{{Ll}}]*\p{{Lu}}[^\p{{Ll}}]*$')
+                            THEN sign(valence) * 0.733 ELSE 0 END)::DOUBLE AS v
+  FROM around JOIN lexicon ON token = word
+  WHERE word NOT IN ({quoted(STRONGER)}, {quoted(WEAKER)})),
+v1 AS (SELECT * REPLACE (({neighbour_step('b1', 'v', 1.0)})::DOUBLE AS v) FROM v0),
+v2 AS (SELECT * REPLACE (({neighbour_step('b2', 'v', 0.95)})::DOUBLE AS v) FROM v1),
+v3 AS (SELECT * REPLACE (({neighbour_step('b3', 'v', 0.9)})::DOUBLE AS v) FROM v2),
+sums AS (
+  SELECT doc_id, round(sum(v * CASE WHEN but = 0 OR place = but THEN 1.0 WHEN place < but THEN 0.5 ELSE 1.5 END), 9)
+         AS total
+  FROM v3 GROUP BY doc_id),
+marks AS (
+  SELECT doc_id, coalesce(total, 0) AS total, least(length(regexp_replace(text, '[^!]', '', 'g')), 4) * 0.292::DOUBLE
+         + CASE WHEN length(regexp_replace(text, '[^?]', '', 'g')) > 3 THEN 0.96::DOUBLE
+                WHEN length(regexp_replace(text, '[^?]', '', 'g')) > 1
+                THEN length(regexp_replace(text, '[^?]', '', 'g')) * 0.18::DOUBLE ELSE 0 END AS emphasis
+  FROM documents LEFT JOIN sums USING (doc_id)),
+ruled AS (SELECT doc_id, total + sign(total) * emphasis AS total FROM marks)"""
+
 RERANKED = f"""heard AS (
   SELECT lower({lookup('title')}) AS key, (sum(compound) / count(*) + 1) / 2 AS audience
   FROM scores JOIN movies USING (movieId) GROUP BY key),
@@ -546,7 +589,9 @@ GROUP BY userId, movieId""",
             RATED,
             """listed AS (
   SELECT step, userId, title, total AS score
-  FROM (SELECT userId, movieId, sum(rating) AS total FROM ratings GROUP BY userId, movieId) r
+  FROM (SELECT userId, movieId, sum(rating) AS total,
+               row_number() OVER (PARTITION BY userId ORDER BY sum(rating) DESC, movieId) AS place
+        FROM ratings GROUP BY userId, movieId QUALIFY place <= 50) r
   CROSS JOIN (VALUES (1), (2)) s(step)
   JOIN movies m ON m.movieId = (r.movieId + step) % (SELECT count(*) FROM movies)),
 lists AS (
@@ -587,6 +632,11 @@ def sentiment_queries() -> dict[str, str]:
     scores = (REVIEWS, LEX, CORE)
     recs = (RATINGS, MOVIES, DENSE, MATRIX, NEIGHBOURS, collab(10), SCORED_LIST)
     return {
+        "lexicon_rules": query(
+            LEX,
+            RULES,
+            select="""SELECT doc_id AS review_id, round(total / sqrt(total * total + 15), 6) AS compound FROM ruled""",
+        ),
         "lexicon_core": query(*scores, select="SELECT review_id, compound FROM scores"),
         "item_sentiment": query(
             *scores,
