@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
@@ -39,6 +42,20 @@ def score_reviews(model: PipelineModel, reviews: DataFrame) -> DataFrame:
     )
 
 
+def score_with(
+    reviews: DataFrame, load: Callable[[], Callable[[pd.Series], pd.Series]]
+) -> DataFrame:
+    """(review_id, probability) by any model: ``load`` runs once per task, its result once per batch."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        score = load()
+        for batch in batches:
+            yield pd.DataFrame({"review_id": batch["review_id"], "probability": score(batch["review"])})
+
+    known = reviews.where(F.col("review").isNotNull()).select("review_id", "review")
+    return known.mapInPandas(run, "review_id long, probability double")
+
+
 def validation_metrics(model: PipelineModel, validation: DataFrame) -> dict[str, object]:
     """Accuracy on held-out rows and the training loss per iteration."""
     scored = model.transform(validation.withColumn("label", F.col("label").cast("double")))

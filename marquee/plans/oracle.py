@@ -324,10 +324,10 @@ def source_queries() -> dict[str, str]:
   SELECT id, title, release_date, original_language,
          CASE WHEN id % 13 = 0 THEN '' ELSE genre_names END AS genre_names,
          CASE WHEN id % 17 = 0 THEN 0 ELSE vote_count END AS vote_count,
-         CASE WHEN id % 3 <> 0 THEN keyword_names ELSE '' END AS keyword_names,
-         CASE WHEN id % 4 <> 1 THEN cast_names ELSE '' END AS cast_names,
-         CASE WHEN id % 4 <> 1 AND id % 5 <> 2 THEN director_name ELSE '' END AS director_name
-  FROM metadata WHERE id % 11 <> 5)"""
+         CASE WHEN p_size <= 35 THEN keyword_names ELSE '' END AS keyword_names,
+         CASE WHEN p_type <> 'MEDIUM' THEN cast_names ELSE '' END AS cast_names,
+         CASE WHEN p_type <> 'MEDIUM' AND id % 5 <> 2 THEN director_name ELSE '' END AS director_name
+  FROM metadata JOIN part ON p_partkey = id WHERE id % 11 <> 5)"""
     return {
         "load_report": query(
             RATINGS,

@@ -119,7 +119,8 @@ class Views:
 
     @cached_property
     def raw_keywords(self) -> DataFrame:
-        return self.table("part").where("p_partkey % 3 <> 0").select(
+        """Keywords of the smaller items; the others have none."""
+        return self.table("part").where("p_size <= 35").select(
             F.col("p_partkey").cast("string").alias("id"),
             F.expr(
                 "concat('[{''id'': ', p_size, ', ''name'': ''', p_name, '''}, {''name'': ''size ', p_size, '''}]')"
@@ -128,7 +129,8 @@ class Views:
 
     @cached_property
     def raw_credits(self) -> DataFrame:
-        return self.table("part").where("p_partkey % 4 <> 1").select(
+        """Credits of all types but one."""
+        return self.table("part").where("p_type <> 'MEDIUM'").select(
             F.col("p_partkey").cast("string").alias("id"),
             F.expr(
                 "concat('[{''name'': ''Ann ', p_type, '''}, {''name'': ''Bo ', p_size % 7, '''}, "

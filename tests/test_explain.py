@@ -60,8 +60,8 @@ def test_reasons_in_order(spark):
     recs = [
         (1, 1, "The Matrix (1999)", 0.82),
         (1, 2, "Heat (1995)", 0.70),
-        (1, 3, "Inception (2010)", 0.91),
-        (1, 4, "Forrest Gump (2024)", 0.61),
+        (1, 3, "Quiet Sea (2010)", 0.91),
+        (1, 4, "Long Walk (2024)", 0.61),
         (1, 5, "Plain (2024)", 0.5),
         (2, 1, "Plain (2024)", 0.5),
         (3, 1, "Plain (2024)", 0.6),
@@ -95,7 +95,7 @@ def test_attribution_recovers_a_linear_scorer(spark):
     def linear(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: sum(w for word, w in weights.items() if word in t))
 
-    review = "This film is an absolute masterpiece . The acting is incredible but the end is dull"
+    review = "What a masterpiece of a story , incredible at first , though it turns dull near the end"
     df = spark.createDataFrame([(1, review), (2, None), (3, ""), (4, "dull")], "review_id long, review string")
     found = attribution.attribute_words(df, linear)
     rows = found.where("review_id = 1").orderBy("rank").collect()
