@@ -1,211 +1,142 @@
-"""Byte-level BPE by higher-order functions over literal tables."""
+"""Byte-level BPE: ranked merges folded over the bytes of distinct words, and decoding by concatenation."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Callable
-from dataclasses import dataclass
+import heapq
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.llm.vocabularies import ranks_from_tiktoken
 
-#: No merge; above all ranks.
-NONE = 2**31 - 1
-#: So many of the sample's most frequent words are looked up; all others are folded where they stand.
-FREQUENT = 131_072
-#: Documents that the frequent words come from, on average. They set the speed alone: any word has the same ids either way.
-SAMPLE_DOCS = 20_000
-
-_SIDE = 1 << 16  # ids are smaller
-_PRIME = 2_147_483_647
-_FACTOR = 1_103_515_245
-_BUCKETS = 32_749
-
-
-def _literal(values: list, kind: str) -> Column:
-    """A constant array, parsed once when the plan is optimised."""
-    return F.from_json(F.lit(json.dumps(values, separators=(",", ":"))), kind)
-
-
-def _displaced(keys: list[int], slots: int) -> tuple[list[int], list[int]]:
-    """Hash and displace: a shift for each bucket, and the slot of each key, no two alike."""
-    groups: dict[int, list[int]] = {}
-    for n, key in enumerate(keys):
-        groups.setdefault(key % _BUCKETS, []).append(n)
-    shifts, place, taken = [0] * _BUCKETS, [0] * len(keys), bytearray(slots)
-    for bucket, members in sorted(groups.items(), key=lambda x: -len(x[1])):
-        homes = [keys[n] * _FACTOR % _PRIME if keys[n] < _SIDE * _SIDE else keys[n] for n in members]
-        shift = 0
-        while len({(h + shift) % slots for h in homes}) < len(homes) or any(taken[(h + shift) % slots] for h in homes):
-            shift += 1
-        shifts[bucket] = shift
-        for n, h in zip(members, homes, strict=True):
-            place[n] = (h + shift) % slots
-            taken[place[n]] = 1
-    return shifts, place
-
-
-@dataclass
-class Tables:
-    """Literal tables of a rank file, for expressions."""
-
-    merge: Callable[[Column, Column], Column]
-    byte: Column
-    little_endian: Column
-    piece: Column
-
-
-def tables(ranks: dict[bytes, int]) -> Tables:
-    """The rank of each pair of ids whose bytes together are a token, as a perfect hash in two literal arrays."""
-    pairs = {}
-    for token, rank in ranks.items():
-        for cut in range(1, len(token)):
-            a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
-            if a is not None and b is not None:
-                pairs[a * _SIDE + b] = rank
-    keys = list(pairs)
-    slots = max(2, 2 * len(keys))
-    shifts, place = _displaced(keys, slots)
-    key_at, rank_at = [-1] * slots, [NONE] * slots
-    for key, at in zip(keys, place, strict=True):
-        key_at[at], rank_at[at] = key, pairs[key]
-    shift, known, rank = _literal(shifts, "array<bigint>"), _literal(key_at, "array<bigint>"), _literal(rank_at, "array<int>")
-
-    def merge(a: Column, b: Column) -> Column:
-        key = a.cast("long") * _SIDE + b
-        at = ((key * _FACTOR) % _PRIME + F.get(shift, (key % _BUCKETS).cast("int"))) % slots
-        found = F.transform(F.array(F.struct(key.alias("key"), at.cast("int").alias("at"))), lambda x: F.when(
-            F.get(known, x["at"]) == x["key"], F.get(rank, x["at"])).otherwise(F.lit(NONE)))
-        return F.get(found, F.lit(0))
-
-    top = max(ranks.values(), default=0)
-    little = [n.to_bytes(4, "little").hex() for n in range(top + 1)]
-    pieces = [""] * (top + 1)
-    for token, n in ranks.items():
-        pieces[n] = token.hex()
-    return Tables(
-        merge,
-        _literal([ranks[bytes([b])] for b in range(256)], "array<int>"),
-        _literal(little, "array<string>"),
-        _literal(pieces, "array<string>"),
-    )
+#: Distinct words a Python worker remembers; others are folded each time. They have the same ids either way.
+REMEMBERED = 600_000
+_LONG = 48
+
+
+def fold(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of one word: of its bytes, the adjacent pair of least rank (the first of equals) merges until none has one."""
+    if word in ranks:
+        return [ranks[word]]
+    if len(word) > _LONG:
+        return _fold_long(word, ranks)
+    get = ranks.get
+    parts = [word[k : k + 1] for k in range(len(word))]
+    pairs = [get(word[k : k + 2], _NONE) for k in range(len(word) - 1)]
+    while pairs and (least := min(pairs)) != _NONE:
+        k = pairs.index(least)
+        parts[k] += parts.pop(k + 1)
+        del pairs[k]
+        if k < len(pairs):
+            pairs[k] = get(parts[k] + parts[k + 1], _NONE)
+        if k:
+            pairs[k - 1] = get(parts[k - 1] + parts[k], _NONE)
+    return [ranks[part] for part in parts]
+
+
+_NONE = 1 << 62
+
+
+def _fold_long(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The same merges from a heap, for words of any length."""
+    end = list(range(1, len(word) + 1))  # by a piece's first byte: where it ends
+    before = list(range(-1, len(word) - 1))
+    alive = [True] * len(word)
+    heap = []
+
+    def offer(k: int) -> None:
+        if end[k] < len(word):
+            stop = end[end[k]]
+            rank = ranks.get(word[k:stop])
+            if rank is not None:
+                heapq.heappush(heap, (rank, k, stop))
+
+    for k in range(len(word)):
+        offer(k)
+    while heap:
+        _, k, stop = heapq.heappop(heap)
+        if not alive[k] or end[k] >= len(word) or end[end[k]] != stop:
+            continue
+        alive[end[k]] = False
+        end[k] = stop
+        if stop < len(word):
+            before[stop] = k
+        offer(k)
+        if before[k] >= 0:
+            offer(before[k])
+    return [ranks[word[k : end[k]]] for k in range(len(word)) if alive[k]]
+
+
+class Words:
+    """Ids of words, as little-endian unsigned 32-bit numbers, worked out when first asked for."""
+
+    def __init__(self, ranks: dict[bytes, int], known: dict[str, bytes]) -> None:
+        self.ranks, self.known = ranks, known
+        self.little = {rank: rank.to_bytes(4, "little") for rank in ranks.values()}
+
+    def __call__(self, word: str) -> bytes:
+        ids = self.known.get(word)
+        if ids is None:
+            ids = b"".join(map(self.little.__getitem__, fold(word.encode(), self.ranks)))
+            if len(self.known) < REMEMBERED:
+                self.known[word] = ids
+        return ids
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """Evaluate ``value`` once for all its uses in ``body``."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
+    """``doc_id, ids`` of every whole text, each match of ``pattern`` by itself and without special tokens.
 
+    ``ids`` is a binary of little-endian unsigned 32-bit numbers. Null and empty texts have no ids. Other columns are
+    ignored; each row counts by itself, and an empty table gives an empty result.
+    """
+    # Each Python worker has its own copy of a broadcast, and keeps there what words it knows from task to task.
+    shared = docs.sparkSession.sparkContext.broadcast({"ranks": ranks_from_tiktoken(vocabulary), "words": {}})
 
-def fold(word: Column, known: Tables) -> Column:
-    """The ids of one word: from its bytes, the adjacent pair of least rank (the first of equals) is merged until none is left.
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import regex
 
-    The state is the ids and the rank of each adjacent pair; a merge looks up only the two new pairs.
-    """
-    latin = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
-    start = F.transform(F.split(latin, ""), lambda c: F.get(known.byte, F.ascii(c)))
-
-    def ranked(ids: Column) -> Column:
-        pairs = F.transform(
-            F.slice(ids, 1, F.size(ids) - 1), lambda a, i: known.merge(a, F.get(ids, i + 1))
-        )
-        return F.struct(ids.alias("p"), pairs.alias("r"))
-
-    def merged(state: Column, least: Column) -> Column:
-        def at_place(at: Column) -> Column:
-            p, r, n = state["p"], state["r"], F.size(state["p"])
-            none = F.array().cast("array<int>")
-            left = F.when(at > 1, F.array(known.merge(F.get(p, at - 2), least))).otherwise(none)
-            right = F.when(at + 2 <= n, F.array(known.merge(least, F.get(p, at + 1)))).otherwise(none)
-            return F.struct(
-                F.concat(F.slice(p, 1, at - 1), F.array(least), F.slice(p, at + 2, n)).alias("p"),
-                F.concat(F.slice(r, 1, F.greatest(at - 2, F.lit(0))), left, right, F.slice(r, at + 2, n)).alias("r"),
-            )
-
-        return _let(F.array_position(state["r"], least).cast("int"), at_place)
-
-    def step(state: Column, _: Column) -> Column:
-        return _let(
-            F.coalesce(F.array_min(state["r"]), F.lit(NONE)),
-            lambda least: F.when(least == NONE, state).otherwise(merged(state, least)),
-        )
-
-    def run(ids: Column) -> Column:
-        return F.aggregate(F.sequence(F.lit(1), F.size(ids)), ranked(ids), step, lambda state: state["p"])
-
-    return _let(start, run)
-
-
-def words(text: Column, pattern: str) -> Column:
-    """The matches of ``pattern``, with Unicode classes, one after the other."""
-    return F.regexp_extract_all(text, F.lit("(?U)" + pattern), F.lit(0))
-
-
-def _place(word: Column) -> Column:
-    """A hash that is never negative and leaves room for a shift."""
-    return F.shiftrightunsigned(F.xxhash64(word), 2)
-
-
-def frequent_words(docs: DataFrame, pattern: str, known: Tables, how_many: int = FREQUENT) -> Callable[[Column], Column]:
-    """A lookup of the ids of frequent words, null for others: literal tables of at most ``how_many`` words."""
-    n = docs.count()
-    sample = docs.sample(min(1.0, SAMPLE_DOCS / n), seed=1) if n else docs
-    top = (
-        sample.select(F.explode(words(F.col("text"), pattern)).alias("word"))
-        .groupBy("word")
-        .agg(F.count("*").alias("n"))
-        .orderBy(F.desc("n"), "word")
-        .limit(how_many)
-        .select("word", _place(F.col("word")).alias("place"), fold(F.col("word"), known).alias("ids"))
-        .collect()
-    )
-    slots = max(2, 2 * len(top))
-    shifts, place = _displaced([r["place"] for r in top], slots)
-    word_at: list = [None] * slots
-    ids_at: list = [None] * slots
-    for row, at in zip(top, place, strict=True):
-        word_at[at], ids_at[at] = row["word"], row["ids"]
-    shift, word, ids = (
-        _literal(shifts, "array<bigint>"),
-        _literal(word_at, "array<string>"),
-        _literal(ids_at, "array<array<int>>"),
-    )
+        find, ids_of = regex.compile(pattern).findall, Words(shared.value["ranks"], shared.value["words"])
+        for batch in batches:
+            for part in _slices(batch):
+                ids = [b"".join(map(ids_of, find(text.as_py() or ""))) for text in part.column("text")]
+                yield pa.record_batch([part.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
 
-    def lookup(w: Column) -> Column:
-        at = _let(
-            _place(w), lambda h: ((h + F.get(shift, (h % _BUCKETS).cast("int"))) % slots).cast("int")
-        )
-        return _let(at, lambda k: F.when(F.get(word, k) == w, F.get(ids, k)))
+    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return texts.mapInArrow(code, "doc_id long, ids binary")
 
-    return lookup
 
+def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
+    """``encoded`` with ``bytes``: the pieces of all ids, one after the other."""
+    pieces = [b""] * (1 + max((ranks := ranks_from_tiktoken(vocabulary)).values(), default=0))
+    for token, number in ranks.items():
+        pieces[number] = token
+    known = encoded.sparkSession.sparkContext.broadcast(pieces)
 
-def encode(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
-    """``doc_id, ids`` of every whole text (null: empty), each match of ``pattern`` by itself, without special tokens."""
-    known = tables(ranks_from_tiktoken(vocabulary))
-    texts = docs.select(
-        F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-    )
-    frequent = frequent_words(texts, pattern, known)
-    parts = F.transform("words", lambda w: F.coalesce(frequent(w), fold(w, known)))
-    return texts.select("doc_id", words(F.col("text"), pattern).alias("words")).select(
-        "doc_id", F.flatten(parts).alias("ids")
-    )
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _slices(batch):
+                piece = known.value.__getitem__
+                found = [b"".join(map(piece, np.frombuffer(x.as_py(), "<u4").tolist())) for x in part.column("ids")]
+                yield pa.record_batch(
+                    [*part.columns, pa.array(found, pa.binary())], names=[*part.schema.names, "bytes"]
+                )
+
+    return encoded.mapInArrow(join, encoded.withColumn("bytes", F.lit(b"")).schema)
 
 
-def decoded(ids: Column, known: Tables) -> Column:
-    """The bytes of ids: their binary pieces one after the other."""
-    return F.unhex(F.array_join(F.transform(ids, lambda n: F.get(known.piece, n)), ""))
+def _slices(batch: pa.RecordBatch, rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """A few rows at a time, so that results are handed on before they pile up."""
+    return (batch.slice(at, rows) for at in range(0, batch.num_rows, rows))
 
 
 def round_trip(docs: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every row."""
-    known = tables(ranks_from_tiktoken(vocabulary))
-    packed = F.unhex(F.array_join(F.transform("ids", lambda n: F.get(known.little_endian, n)), ""))
-    return encode(docs, vocabulary, pattern).select(
+    return decode(encode(docs, vocabulary, pattern), vocabulary).select(
         "doc_id",
-        F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(packed, 256).alias("ids_sha256"),
-        F.sha2(decoded(F.col("ids"), known), 256).alias("decoded_sha256"),
+        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("bytes", 256).alias("decoded_sha256"),
     )

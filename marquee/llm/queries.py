@@ -110,8 +110,8 @@ WITH RECURSIVE v AS (
   SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
 ), ok AS (
   SELECT vec_id, label, e, sqrt(list_inner_product(e, e)) AS norm FROM v
-  WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, x -> x IS NULL OR NOT isfinite(x))) = 0
-    AND len(list_filter(e, x -> x <> 0)) > 0
+  WHERE label IS NOT NULL AND e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0
 ), links AS (
   SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b
     ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
@@ -137,8 +137,8 @@ QUALITY_SQL = f"""
 WITH d AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents
 ), w AS (
-  SELECT r, doc_id, t, list_filter(regexp_split_to_array(t, '{_GAPS}'), x -> x <> '') AS words,
-         list_filter(string_split(t, chr(10)), x -> regexp_replace(x, '{_GAPS}', '', 'g') <> '') AS lines
+  SELECT r, doc_id, t, list_filter(regexp_split_to_array(t, '{_GAPS}'), lambda x: x <> '') AS words,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_replace(x, '{_GAPS}', '', 'g') <> '') AS lines
   FROM d
 ), g AS (
   SELECT r, i, array_to_string(words[i : i + 7], ' ') AS gram
@@ -152,7 +152,7 @@ WITH d AS (
          (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
          (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words,
          len(lines) AS n_lines,
-         len(list_filter(words, x -> list_contains({[w.lower() for w in quality.STOP_WORDS]}, lower(x)))) AS n_stop
+         len(list_filter(words, lambda x: list_contains({[w.lower() for w in quality.STOP_WORDS]}, lower(x)))) AS n_stop
   FROM w LEFT JOIN again USING (r)
 ), q AS (
   SELECT *, {_SHARE.format("word_chars", "n_words")} AS mean_word_chars,
