@@ -81,12 +81,12 @@ class Shingles:
         text_of = np.repeat(np.arange(len(texts)), n_words)
         first = np.cumsum(n_words) - n_words
         factor = np.uint64(0xFF51AFD7ED558CCD)
-        value = np.zeros(max(0, len(word) - SHINGLE + 1), np.uint64)
+        n = max(0, len(word) - SHINGLE + 1)
+        value = np.zeros(n, np.uint64)
         for k in range(SHINGLE):
-            value = value * factor + word[k : len(word) - SHINGLE + 1 + k]
-        place = np.arange(len(value))
-        whole = place + SHINGLE <= (first + n_words)[text_of[: len(value)]] if len(value) else np.empty(0, bool)
-        hashes, owner = [value[whole]], [text_of[: len(value)][whole]]
+            value = value * factor + word[k : k + n]
+        whole = np.arange(n) + SHINGLE <= (first + n_words)[text_of[:n]]
+        hashes, owner = [value[whole]], [text_of[:n][whole]]
         for t in np.flatnonzero((n_words > 0) & (n_words < SHINGLE)):
             short = int(n_words[t])
             for w in word[first[t] : first[t] + n_words[t]]:

@@ -18,6 +18,8 @@ SIMILARITY = 0.8
 BANDS, ROWS = 12, 3
 #: Document frequencies are kept in this many hashed cells, whatever the size of the corpus.
 CELLS = 1 << 18
+#: Texts of a bucket that one task compares; larger buckets are dealt out as pairs of parts.
+TILE = 1024
 #: Added to each frequency as a share of all documents: it bounds how far weights differ, and outweighs by far
 #: what other shingles add to a cell (a document's shingles / CELLS).
 SMOOTHING = 0.25
@@ -168,6 +170,82 @@ def verified(pairs: DataFrame, texts: DataFrame, idf: Broadcast, similarity: flo
     )
 
 
+def linked_components(members: DataFrame, idf: Broadcast, similarity: float) -> DataFrame:
+    """Links ``a, b`` between components of ``members(bucket, low, high, node, component, text)``.
+
+    One tile, the rows of one (bucket, low, high), at a time: a shingle that occurs n times in a text is n elements, so
+    that weights in common are a product of 0/1 rows over the elements that several texts have. A task returns
+    one row for each node that reaches a smaller component.
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingles = Shingles()
+        key, rows, found = None, [], []
+
+        def tile() -> None:
+            nodes = np.array([r[0] for r in rows])
+            labels = np.array([r[1] for r in rows])
+            if labels.min() != labels.max():
+                reached = _least_reached(shingles, [r[2] for r in rows], labels, idf.value, similarity)
+                found.extend(zip(nodes[reached < labels].tolist(), reached[reached < labels].tolist(), strict=True))
+
+        for batch in batches:
+            names = ("bucket", "low", "high", "node", "component")
+            plain = zip(*(batch.column(n).to_pylist() for n in names), strict=True)
+            for (bucket, low, high, node, component), text in zip(plain, batch.column("text").cast(pa.binary()), strict=True):
+                if key != (bucket, low, high):
+                    if rows:
+                        tile()
+                    key, rows = (bucket, low, high), []
+                rows.append((node, component, text.as_py()))
+        if rows:
+            tile()
+        a, b = (pa.array([f[k] for f in found], pa.int64()) for k in (0, 1))
+        yield pa.record_batch([a, b], names=["a", "b"])
+
+    place = ("bucket", "low", "high")
+    return (
+        members.select(*place, "node", "component", "text")
+        .repartition(*place)
+        .sortWithinPartitions(*place)
+        .mapInArrow(compare, "a long, b long")
+    )
+
+
+def _least_reached(
+    shingles: Shingles, texts: list[bytes], labels: np.ndarray, idf: np.ndarray, similarity: float
+) -> np.ndarray:
+    """The least label that each text reaches by links among ``texts``."""
+    value, count, each = shingles.of(texts)
+    owner = np.repeat(np.repeat(np.arange(len(texts)), each), count)
+    weight = np.repeat(idf[(value & np.uint64(CELLS - 1)).astype(np.int64)], count)
+    nth = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+    element = mix(np.repeat(value, count) + nth.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    whole = np.bincount(owner, weight, len(texts))
+    _, column, often = np.unique(element, return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(often[column] > 1)
+    rank = np.cumsum(often > 1) - 1
+    column, owner, weight = rank[column[shared]], owner[shared], weight[shared]
+    order = np.argsort(column, kind="stable")
+    column, owner, weight = column[order], owner[order], weight[order]
+    common = np.zeros((len(texts), len(texts)))
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        a, b = np.searchsorted(column, [first, first + 4096])
+        part = np.zeros((len(texts), 4096 if b < len(column) else int(column[-1]) + 1 - first))
+        part[owner[a:b], column[a:b] - first] = np.sqrt(weight[a:b])
+        common += part @ part.T
+    near = common >= similarity * (whole[:, None] + whole[None, :] - common) * (1 - 1e-12)
+    near &= (whole > 0)[:, None] & (labels[:, None] != labels[None, :])
+    i, j = np.nonzero(near)
+    reached = labels.copy()
+    while True:
+        before = reached.copy()
+        np.minimum.at(reached, i, before[j])
+        np.minimum.at(reached, j, before[i])
+        if np.array_equal(before, reached):
+            return reached
+
+
 def _close(left: str, right: str, similarity: float):
     """Texts whose whole weights differ more than this can't be similar enough."""
     smaller, larger = F.least(left, right), F.greatest(left, right)
@@ -183,9 +261,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     where several share it; a repeated row is kept once. Null and empty texts are equal texts, and texts without words link with nothing else;
     a null doc_id comes last. Columns other than doc_id and text are ignored. An empty table gives an empty result.
 
-    Equal texts are one node. In each bucket of equal band hashes every node is compared with the first one only; where a
-    bucket then still holds several components, all their remaining pairs are compared,
-    so that no link among candidates is lost and a group of copies costs one comparison for each.
+    Equal texts are one node. In each bucket of equal band hashes every node is first compared with one of them only.
+    Buckets that then still hold several components are compared whole, in tiles of bounded size, so that no link
+    between components is lost and no pairs are written out.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     idf = inverse_frequencies(docs)
@@ -223,32 +301,19 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
     placed = shared.select("bucket", "node", "weight").join(parts, "node", "left")
     placed = stage(placed.withColumn("component", F.coalesce("component", "node")), "placed")
-    mixed = (
-        placed.groupBy("bucket", "component")
-        .agg(F.count("*").alias("n"))
-        .groupBy("bucket")
-        .agg(F.count("*").alias("parts"), F.max_by("component", "n").alias("largest"))
-        .where("parts > 1")
-    )
-    rest = placed.join(mixed.select("bucket", "largest"), "bucket")
-    one = rest.where("component != largest").select(
-        "bucket", F.col("node").alias("a"), F.col("weight").alias("w"), F.col("component").alias("p")
+    sizes = (
+        placed.groupBy("bucket")
+        .agg(F.count("*").alias("n"), F.min("component").alias("low"), F.max("component").alias("high"))
+        .where("low != high")
+        .select("bucket", F.ceil(F.col("n") / TILE).cast("int").alias("parts"))
     )
-    other = rest.select(
-        "bucket",
-        F.col("node").alias("b"),
-        F.col("weight").alias("v"),
-        F.col("component").alias("q"),
-        (F.col("component") == F.col("largest")).alias("main"),
-    )
-    cross = (
-        one.join(other, "bucket")
-        .where((F.col("p") != F.col("q")) & (F.col("main") | (F.col("a") < F.col("b"))) & _close("w", "v", similarity))
-        .select("a", "b")
-        .distinct()
-        .join(star, ["a", "b"], "left_anti")
+    dealt = (
+        placed.join(sizes, "bucket")
+        .withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .select("bucket", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "node", "component")
     )
-    more = stage(verified(cross, texts, idf, similarity), "links")
+    more = stage(linked_components(dealt.join(texts, "node"), idf, similarity), "links")
     parts = connected_components(links.unionByName(more))
 
     labelled = (

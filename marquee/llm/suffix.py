@@ -290,7 +290,8 @@ def repeated_spans(
     anchors = rows.select(
         "uid", F.explode(F.arrays_zip("at", "left", "right", "gram", "piece")).alias("x")
     ).select("uid", "x.*")
-    grams = anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # A table of its own: the join then deals out a very frequent gram's rows over several tasks.
+    grams = stage(anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "grams")
     shared = stage(anchors.join(grams, "gram"), "shared")
     one = rows.groupBy("key").agg(F.min("uid").alias("uid"))
     needed = one.join(shared.select("uid").distinct(), "uid").select("key")
@@ -359,7 +360,7 @@ def repeated_spans(
         ),
         "spans",
     )
-    for used in (shared, pieces, cut):
+    for used in (grams, shared, pieces, cut):
         drop_stage(used)
     return spans, texts
 
