@@ -34,12 +34,14 @@ def records(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     body = F.coalesce(F.col("html").cast("string"), F.lit(""))
     page = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), body.alias("body"))
     page = page.select("*", F.octet_length("body").cast("long").alias("bytes"), _sha256(F.col("body")).alias("digest"))
-    first = (
+    # Written first: where few payloads repeat, Spark then knows it and joins without moving the pages.
+    first = stage(
         page.where((F.col("bytes") >= least) & F.col("page_id").isNotNull())
         .groupBy("digest")
         .agg(F.min("page_id").alias("first"), F.count("*").alias("n"))
         .where("n > 1")
-        .select("digest", "first")
+        .select("digest", "first"),
+        "first",
     )
     page = page.join(first, "digest", "left")
     revisit = (F.col("page_id") != F.col("first")) & (F.col("bytes") >= least)
@@ -125,7 +127,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
         F.octet_length(payload).cast("long").alias("size"),
         whole.alias("whole"),
     )
-    found = stage(lines, "candidates")
+    found = lines = stage(lines, "candidates")
     gap = len(SEPARATOR)
     inside = Window.partitionBy("file", "range").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
     ranges = found.groupBy("file", "range").agg(F.sum(F.col("bytes") + gap).alias("n"))
@@ -149,12 +151,15 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
         & (follows <= F.col("end"))
         & ((at > 0) | (F.col("magic") == MAGIC))
     )
-    return found.select(
+    placed = found.select(
         "file",
         start.cast("long").alias("start"),
         F.when(right, follows).cast("long").alias("next"),
         *[c for c in found.columns if c not in ("file", "range", "row", "base", "before", "end", "magic", "closed")],
     )
+    placed = stage(placed, "found")
+    drop_stage(lines)
+    return placed
 
 
 def _payload(block: str) -> Column:
@@ -197,7 +202,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     records; a chain ends where a header is broken or a record runs beyond its file. Bytes and digest of a response are those of the
     payload read; a revisit states those of the payload it refers to. An empty archive gives no rows.
     """
-    found = stage(candidates(spark, path), "found")
+    found = candidates(spark, path)
     chain = stage(reachable(found), "reachable")
     real = found.join(chain.withColumn("real", F.lit(True)), ["file", "start"], "left")
     real = real.where("real is null or next is not null")
@@ -205,6 +210,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
         Window.partitionBy("file").orderBy("start").rowsBetween(Window.unboundedPreceding, 0)
     )
     real = stage(real.withColumn("owner", owner), "records")
+    drop_stage(found)
     # Payloads with magic inside are put together again: their parts are known by file and digest.
     split = real.where("real and not whole").select("file", F.col("start").alias("owner"), "head_bytes", "content")
     parts = real.select("file", "owner", "start", "part").join(split, ["file", "owner"])
