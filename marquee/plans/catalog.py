@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marquee.functions import display, text
@@ -24,7 +26,7 @@ from marquee.operators import (
     titles,
 )
 from marquee.plans import recommend as top
-from marquee.plans.views import LEXICON, STOP_WORDS, Views
+from marquee.plans.views import LEXICON, MOST_RATED, STOP_WORDS, Views
 from marquee.session import shared_folder, stage
 from marquee.sources import sampling, tables
 
@@ -74,7 +76,7 @@ def metadata_from_literals(v: Views) -> DataFrame:
 @registered
 def metadata_from_csv(v: Views) -> DataFrame:
     """The same tables written as CSV files and loaded by name."""
-    folder = f"{shared_folder(v.spark)}/csv"
+    folder = f"{shared_folder(v.spark)}/csv-{uuid.uuid4().hex}"
     files = {
         "movies_metadata.csv": v.raw_metadata,
         "keywords.csv": v.raw_keywords,
@@ -88,7 +90,7 @@ def metadata_from_csv(v: Views) -> DataFrame:
 
 @registered
 def ratings_from_csv(v: Views) -> DataFrame:
-    folder = f"{shared_folder(v.spark)}/csv"
+    folder = f"{shared_folder(v.spark)}/csv-{uuid.uuid4().hex}"
     for name, df in {"rating.csv": v.ratings, "movies.csv": v.movies}.items():
         df.write.mode("overwrite").option("header", True).option("escape", '"').csv(f"{folder}/{name}")
     ratings = tables.load_ratings(v.spark, folder, sample=None)
@@ -110,7 +112,7 @@ def rating_sample(v: Views) -> DataFrame:
 
 @registered
 def train_validation_split(v: Views) -> DataFrame:
-    split = sampling.train_validation_split(v.reviews, ["review_id"], 200, 100)
+    split = sampling.train_validation_split(v.labelled, ["review_id"], 200, 100)
     return split.select("review_id", "part")
 
 
@@ -126,7 +128,7 @@ def pages_cleaned(v: Views) -> DataFrame:
 
 @registered
 def class_counts(v: Views) -> DataFrame:
-    return sentiment.class_counts(v.reviews)
+    return sentiment.class_counts(v.labelled)
 
 
 # --- scalar functions ------------------------------------------------------------------
@@ -390,8 +392,8 @@ def search_titles(v: Views) -> DataFrame:
 
 @registered
 def most_rated(v: Views) -> DataFrame:
-    items = factor.most_rated(v.ratings, "movieId", factor.MOVIES)
-    users = factor.most_rated(v.ratings, "userId", factor.USERS)
+    items = factor.most_rated(v.ratings, "movieId", MOST_RATED["movies"])
+    users = factor.most_rated(v.ratings, "userId", MOST_RATED["users"])
     return items.select(F.lit("movie").alias("kind"), F.col("movieId").alias("id"), "count").unionByName(
         users.select(F.lit("user").alias("kind"), F.col("userId").alias("id"), "count")
     )
@@ -407,6 +409,35 @@ def svd_recommendations(v: Views) -> DataFrame:
     return factor.svd_recommendations(factor.build_svd_model(v.ratings), v.ratings, v.movies)
 
 
+@registered
+def svd_checks(v: Views) -> DataFrame:
+    """Counts of what must never happen in a factor model and its lists: all of them 0."""
+    ratings = stage(v.ratings, "ratings")
+    model = factor.build_svd_model(ratings)
+    lists = stage(factor.svd_scores(model, ratings), "svd-lists")
+    k = model.sigma.count()
+    cells = [(i, j) for i in range(k) for j in range(i, k)]
+    f = F.col("factors")
+    gram = model.item_factors.agg(*[F.sum(f[i] * f[j]).alias(f"g{i}_{j}") for i, j in cells])
+    off = [F.when(F.abs(F.col(f"g{i}_{j}") - float(i == j)) > 1e-6, 1).otherwise(0) for i, j in cells]
+    after = F.lead("sigma").over(Window.orderBy("factor"))
+    means = collab.user_item_means(ratings)
+    energy = means.agg(F.sum(F.col("rating") ** 2).alias("all"))
+    held = model.sigma.agg(F.sum(F.col("sigma") ** 2).alias("held"))
+    seen = ratings.select("userId", "movieId").distinct()
+    gaps = lists.groupBy("userId").agg(F.max("rank").alias("last"), F.countDistinct("rank").alias("n"))
+    counts = (
+        ("columns of V that are not orthonormal", gram.select(sum(off, F.lit(0)).alias("n"))),
+        ("singular values out of order", model.sigma.withColumn("next", after).agg(F.count_if(F.expr("next > sigma + 1e-9")).alias("n"))),
+        ("more energy than the ratings have", held.join(energy, F.col("held") > F.col("all") * (1 + 1e-9)).agg(F.count("*").alias("n"))),
+        ("users without recommendations", ratings.select("userId").distinct().join(lists, "userId", "left_anti").agg(F.count("*").alias("n"))),
+        ("seen films recommended", lists.join(seen, ["userId", "movieId"], "left_semi").agg(F.count("*").alias("n"))),
+        ("ranks with gaps", gaps.agg(F.count_if(F.expr("last != n")).alias("n"))),
+    )
+    rows = [df.select(F.lit(name).alias("violation"), F.col("n").cast("int").alias("n")) for name, df in counts]
+    return reduce(DataFrame.unionByName, rows)
+
+
 # --- ensemble --------------------------------------------------------------------------
 
 
@@ -492,7 +523,7 @@ def item_sentiment(v: Views) -> DataFrame:
 @registered
 def lexicon_accuracy(v: Views) -> DataFrame:
     label = (F.col("sentiment") == "positive").cast("int")
-    sampled = sampling.sample_rows(v.reviews.withColumn("label", label), 250, ["review_id"])
+    sampled = sampling.sample_rows(v.labelled.withColumn("label", label), 250, ["review_id"])
     scores = sentiment.lexicon_scores(sampled, _lexicon(v), False)
     return sentiment.accuracy(sampled.drop("review").join(scores, "review_id")).select("n", "correct")
 
@@ -535,7 +566,7 @@ def recommendation_tiles(v: Views) -> DataFrame:
 
 
 def _classifier(v: Views):
-    rows = tables.clean_reviews(v.reviews)
+    rows = tables.clean_reviews(v.labelled)
     n_train = rows.count() * 3 // 4
     split = stage(
         sampling.train_validation_split(rows, ["review_id"], n_train, n_train), "classifier-split"

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from marquee.operators.sentiment import NEGATIONS, STRONGER, WEAKER
-from marquee.plans.views import LEXICON, STOP_WORDS
+from marquee.plans.views import LEXICON, MOST_RATED, STOP_WORDS
 
 RATINGS = """ratings AS (
   SELECT o_custkey AS userId, l_partkey AS movieId, ceil(l_quantity / 5) / 2 AS rating
@@ -27,8 +27,10 @@ METADATA = """metadata AS (
 
 REVIEWS = """reviews AS (
   SELECT doc_id AS review_id, doc_id % 50 AS movieId, text AS review,
-         CASE WHEN quality = 1 THEN 'positive' ELSE 'negative' END AS sentiment
-  FROM documents JOIN labels USING (doc_id))"""
+         CASE WHEN quality = 1 THEN 'positive' WHEN doc_id IN (SELECT doc_id FROM labels) THEN 'negative' END AS sentiment
+  FROM documents LEFT JOIN labels USING (doc_id))"""
+
+LABELLED = "labelled AS (SELECT * FROM {} WHERE sentiment IS NOT NULL)"
 
 RATED = "rated AS (SELECT * FROM ratings JOIN movies USING (movieId))"
 
@@ -125,6 +127,7 @@ def decade_label(x: str) -> str:
 
 
 def category(x: str) -> str:
+    # The same rules as the Spark side's display categories.
     rules = [
         ("action", "action|thriller"),
         ("comedy", "comedy"),
@@ -171,24 +174,21 @@ weights AS (
   SELECT id, dim, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS weight FROM raw_weights)"""
 
 
-def similar_lists(depth: int) -> str:
-    return f"""products AS (
+SIMILAR = """products AS (
   SELECT a.id AS seed, b.id, sum(a.weight * b.weight) AS cos
   FROM weights a JOIN weights b ON a.dim = b.dim AND a.id <> b.id GROUP BY a.id, b.id),
 blended AS (
   SELECT s.id AS seed, i.id,
          round(0.65 * coalesce(cos, 0) + 0.35 * (i.vote_count / (SELECT max(vote_count) FROM items)), 9) AS score
   FROM items s JOIN items i ON s.id <> i.id LEFT JOIN products p ON p.seed = s.id AND p.id = i.id),
-near AS (
-  SELECT *, row_number() OVER (PARTITION BY seed ORDER BY score DESC, id) AS position
-  FROM blended QUALIFY position <= {depth}),
 shown AS (
-  SELECT seed, position, id, score, title, genre_names, vote_count, original_language
-  FROM near JOIN items USING (id) WHERE score >= 0.1 AND vote_count >= 20)"""
+  SELECT seed, row_number() OVER (PARTITION BY seed ORDER BY score DESC, id) AS position, id, score, title,
+         genre_names, vote_count, original_language
+  FROM blended JOIN items USING (id) WHERE score >= 0.1 AND vote_count >= 20)"""
 
 
 SCORED_LIST = """scaled AS (
-  SELECT userId, movieId, rank, round((score - min(score) OVER u)
+  SELECT userId, movieId, rank, score, round((score - min(score) OVER u)
          / CASE WHEN max(score) OVER u = min(score) OVER u THEN 1 ELSE max(score) OVER u - min(score) OVER u END, 6)
          AS normalized_score
   FROM collab WINDOW u AS (PARTITION BY userId)),
@@ -210,11 +210,12 @@ scores AS (
 
 
 
-def neighbour_step(before: str, value: str, damping: float) -> str:
+def neighbour_step(before: str, loud: str, value: str, damping: float) -> str:
     """The value after one preceding word has strengthened, weakened or negated it."""
     step = f"CASE WHEN {before} IN ({quoted(STRONGER)}) THEN 0.293 WHEN {before} IN ({quoted(WEAKER)}) THEN -0.293 ELSE 0 END"
+    raised = f"CASE WHEN mixed AND {loud} AND {before} IN ({quoted(STRONGER)}, {quoted(WEAKER)}) THEN 0.733 ELSE 0 END"
     negated = f"CASE WHEN {before} IN ({quoted(NEGATIONS)}) THEN -0.74 ELSE 1 END"
-    return f"({value} + sign({value}) * {step} * {damping}) * {negated}"
+    return f"({value} + sign({value}) * ({step} + {raised})::DOUBLE * {damping}) * {negated}"
 
 
 RULES = rf"""split AS (
@@ -227,6 +228,7 @@ told AS (
   SELECT doc_id, place, loud, said, lower(CASE WHEN length(bare) > 2 THEN bare ELSE said END) AS word FROM said),
 around AS (
   SELECT *, lag(word, 1, '') OVER p AS b1, lag(word, 2, '') OVER p AS b2, lag(word, 3, '') OVER p AS b3,
+         lag(loud, 1, false) OVER p AS l1, lag(loud, 2, false) OVER p AS l2, lag(loud, 3, false) OVER p AS l3,
          bool_or(loud) OVER d AND bool_or(NOT loud) OVER d AS mixed,
          coalesce(min(CASE WHEN regexp_matches(said, '^(?i)\p{{P}}*but\p{{P}}*$') THEN place END) OVER d, 0) AS but
   FROM told WINDOW p AS (PARTITION BY doc_id ORDER BY place), d AS (PARTITION BY doc_id)),
@@ -235,9 +237,9 @@ v0 AS (
                             THEN sign(valence) * 0.733 ELSE 0 END)::DOUBLE AS v
   FROM around JOIN lexicon ON token = word
   WHERE word NOT IN ({quoted(STRONGER)}, {quoted(WEAKER)})),
-v1 AS (SELECT * REPLACE (({neighbour_step('b1', 'v', 1.0)})::DOUBLE AS v) FROM v0),
-v2 AS (SELECT * REPLACE (({neighbour_step('b2', 'v', 0.95)})::DOUBLE AS v) FROM v1),
-v3 AS (SELECT * REPLACE (({neighbour_step('b3', 'v', 0.9)})::DOUBLE AS v) FROM v2),
+v1 AS (SELECT * REPLACE (({neighbour_step('b1', 'l1', 'v', 1.0)})::DOUBLE AS v) FROM v0),
+v2 AS (SELECT * REPLACE (({neighbour_step('b2', 'l2', 'v', 0.95)})::DOUBLE AS v) FROM v1),
+v3 AS (SELECT * REPLACE (({neighbour_step('b3', 'l3', 'v', 0.9)})::DOUBLE AS v) FROM v2),
 sums AS (
   SELECT doc_id, round(sum(v * CASE WHEN but = 0 OR place = but THEN 1.0 WHEN place < but THEN 0.5 ELSE 1.5 END), 9)
          AS total
@@ -360,7 +362,8 @@ FROM shuffled WHERE position <= 5000 GROUP BY userId, movieId, rating""",
         ),
         "train_validation_split": query(
             REVIEWS,
-            shuffled("reviews", 42, "review_id"),
+            LABELLED.format("reviews"),
+            shuffled("labelled", 42, "review_id"),
             select="""SELECT review_id, CASE WHEN position <= 200 THEN 'train' ELSE 'validation' END AS part
 FROM shuffled WHERE position <= 300""",
         ),
@@ -371,7 +374,9 @@ FROM shuffled WHERE position <= 300""",
         ),
         "pages_cleaned": f"SELECT page_id, {clean('html')} AS review FROM pages",
         "class_counts": query(
-            REVIEWS, select="SELECT sentiment, count(*) AS n FROM reviews GROUP BY sentiment"
+            REVIEWS,
+            LABELLED.format("reviews"),
+            select="SELECT sentiment, count(*) AS n FROM labelled GROUP BY sentiment",
         ),
     }
 
@@ -484,8 +489,7 @@ def collab_queries() -> dict[str, str]:
             collab(10),
             MOVIES,
             SCORED_LIST,
-            select="""SELECT userId, rank, movieId, score, normalized_score
-FROM collab JOIN scaled USING (userId, rank, movieId)""",
+            select="SELECT userId, rank, movieId, score, normalized_score FROM scaled",
         ),
     }
 
@@ -509,13 +513,13 @@ def content_queries() -> dict[str, str]:
         "tfidf_weights": query(*model, select="SELECT id, term, round(weight, 6) AS weight FROM weights"),
         "similar_items": query(
             *model,
-            similar_lists(40),
+            SIMILAR,
             select="""SELECT seed AS seed_id, row_number() OVER (PARTITION BY seed ORDER BY position) AS rank, id,
   score FROM shown QUALIFY rank <= 10""",
         ),
         "similar_filtered": query(
             *model,
-            similar_lists(80),
+            SIMILAR,
             select="""SELECT seed AS seed_id, row_number() OVER (PARTITION BY seed ORDER BY position) AS rank,
   n.title, n.genre_names, score AS similarity_score, n.vote_count::BIGINT AS vote_count,
   n.original_language
@@ -526,7 +530,7 @@ QUALIFY rank <= 20""",
         ),
         "similar": query(
             *model,
-            similar_lists(40),
+            SIMILAR,
             MOVIES,
             select=f"""SELECT movieId AS request_id, row_number() OVER (PARTITION BY movieId ORDER BY position) AS rank,
   n.title, n.genre_names, score AS similarity_score, n.vote_count::BIGINT AS vote_count,
@@ -561,9 +565,10 @@ FROM metadata GROUP BY raw_title""",
 
 
 def ensemble_queries() -> dict[str, str]:
-    top_items = """top_movies AS (
-  SELECT movieId, count(*) AS n FROM ratings GROUP BY movieId ORDER BY n DESC, movieId LIMIT 500),
-top_users AS (SELECT userId, count(*) AS n FROM ratings GROUP BY userId ORDER BY n DESC, userId LIMIT 2000)"""
+    top_items = f"""top_movies AS (
+  SELECT movieId, count(*) AS n FROM ratings GROUP BY movieId ORDER BY n DESC, movieId LIMIT {MOST_RATED["movies"]}),
+top_users AS (
+  SELECT userId, count(*) AS n FROM ratings GROUP BY userId ORDER BY n DESC, userId LIMIT {MOST_RATED["users"]})"""
     seeds = f"""seeds AS (
   SELECT userId, seed, {lookup('title')} AS title
   FROM (SELECT *, row_number() OVER (PARTITION BY userId ORDER BY rating DESC, movieId) AS seed
@@ -577,10 +582,13 @@ UNION ALL SELECT 'user', userId, n FROM top_users""",
         ),
         "svd_matrix": query(
             RATINGS,
-            top_items,
-            select="""SELECT userId, movieId, round(avg(rating), 6) AS rating FROM ratings
-WHERE movieId IN (SELECT movieId FROM top_movies) AND userId IN (SELECT userId FROM top_users)
-GROUP BY userId, movieId""",
+            select="SELECT userId, movieId, round(avg(rating), 6) AS rating FROM ratings GROUP BY userId, movieId",
+        ),
+        "svd_checks": query(
+            RATINGS,
+            select="""SELECT unnest(['columns of V that are not orthonormal', 'singular values out of order',
+  'more energy than the ratings have', 'users without recommendations', 'seen films recommended',
+  'ranks with gaps']) AS violation, 0 AS n""",
         ),
         "favourite_seeds": query(RATINGS, MOVIES, seeds, select="SELECT userId, seed, title FROM seeds"),
         "merge_scored": query(
@@ -613,7 +621,7 @@ lists AS (
             SOUP,
             ITEMS,
             TERMS,
-            similar_lists(80),
+            SIMILAR,
             seeds,
             """lists AS (
   SELECT 'collab' AS source, 0.4::DOUBLE AS weight, userId, title, score FROM collab JOIN movies USING (movieId)
@@ -647,7 +655,8 @@ FROM scores GROUP BY movieId""",
         ),
         "lexicon_accuracy": query(
             *scores,
-            shuffled("scores", 42, "review_id"),
+            LABELLED.format("scores"),
+            shuffled("labelled", 42, "review_id"),
             select="""SELECT count(*) AS n,
   count(*) FILTER (WHERE (compound > 0) = (sentiment = 'positive')) AS correct
 FROM shuffled WHERE position <= 250""",
@@ -655,7 +664,7 @@ FROM shuffled WHERE position <= 250""",
         "sentiment_fallback": query(
             *scores,
             select="""SELECT review_id, round(CASE WHEN toxic = 1 THEN 1.0 ELSE (compound + 1) / 2 END, 5) AS score
-FROM scores JOIN labels ON doc_id = review_id""",
+FROM scores LEFT JOIN labels ON doc_id = review_id""",
         ),
         "rerank_with_sentiment": query(*recs, *scores, RERANKED, select="SELECT * FROM reranked"),
         "recommendation_tiles": query(

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 # Stop words and a small lexicon that occur in the test texts.
 STOP_WORDS = "the of and to in is that it for was on with be as by this are at from".split()
+MOST_RATED = {"movies": 500, "users": 2000}  # lengths of two reports
 LEXICON = (
     ("worthless", -1.9),
     ("stupid", -2.4),
@@ -34,12 +35,7 @@ class Views:
     folder: str
 
     def table(self, name: str) -> DataFrame:
-        """A test table; one small file is spread over the cores, larger inputs are split by their scan."""
-        df = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-        cores = self.spark.sparkContext.defaultParallelism
-        if name in ("lineitem", "documents") and df.rdd.getNumPartitions() < cores:
-            return df.repartition(cores)
-        return df
+        return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     @cached_property
     def ratings(self) -> DataFrame:
@@ -86,15 +82,20 @@ class Views:
 
     @cached_property
     def reviews(self) -> DataFrame:
+        """All documents; those without a label have no sentiment."""
         docs = self.table("documents").select("doc_id", "text")
-        labels = self.table("labels").select("doc_id", "quality")
-        return docs.join(labels, "doc_id").select(
+        labels = self.table("labels").select("doc_id", "quality", F.lit("negative").alias("other"))
+        return docs.join(labels, "doc_id", "left").select(
             F.col("doc_id").alias("review_id"),
             (F.col("doc_id") % 50).alias("movieId"),
             F.col("text").alias("review"),
-            F.when(F.col("quality") == 1, "positive").otherwise("negative").alias("sentiment"),
+            F.when(F.col("quality") == 1, "positive").otherwise(F.col("other")).alias("sentiment"),
         )
 
+    @cached_property
+    def labelled(self) -> DataFrame:
+        return self.reviews.where(F.col("sentiment").isNotNull())
+
     # Messier forms of the same rows, for loaders and title matching.
 
     @cached_property

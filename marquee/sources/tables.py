@@ -41,9 +41,9 @@ def _required(spark: SparkSession, folder: str, names: Sequence[str], **options)
 
 
 def load_ratings(
-    spark: SparkSession, folder: str, sample: int | None = RATINGS_SAMPLE, seed: int = 42
+    spark: SparkSession, folder: str, sample: int | None = None, seed: int = 42
 ) -> DataFrame:
-    """(userId, movieId, rating), cut to a seeded sample of exactly ``sample`` rows unless None."""
+    """(userId, movieId, rating) of all rows, or of a seeded sample of exactly ``sample``."""
     raw = _required(spark, folder, ["ratings.csv", "rating.csv"])
     ratings = raw.select(
         F.col("userId").cast("long").alias("userId"),
@@ -134,8 +134,15 @@ def load_metadata(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def load_reviews(spark: SparkSession, folder: str, clean: bool = True) -> DataFrame:
-    """(review, sentiment), and with ``clean`` stripped text and a 0/1 ``label``."""
+    """(review_id, review, sentiment), and with ``clean`` stripped text and a 0/1 ``label``.
+
+    ``review_id`` follows the order of the rows in their files, unless the file has one.
+    """
     raw = _required(spark, folder, ["IMDB Dataset.csv", "reviews.csv"], quoted_lines=True)
+    if "review_id" in raw.columns:
+        raw = raw.withColumn("review_id", F.col("review_id").try_cast("long"))
+    else:
+        raw = raw.select(F.monotonically_increasing_id().alias("review_id"), "*")
     return clean_reviews(raw) if clean else raw
 
 
