@@ -44,6 +44,8 @@ class Anchors:
 
     def of(self, data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, ...]:
         """Anchor, first and last window start, and gram hash, for texts that end at ``ends``."""
+        if len(data) < self.length:
+            return (np.empty(0, np.int64),) * 3 + (np.empty(0, np.uint64),)
         value = self._grams(data)
         least = (value >> np.uint64(32) << np.uint64(32)) | np.arange(len(value), dtype=np.uint64)
         width, wanted = 1, self.length - self.gram + 1

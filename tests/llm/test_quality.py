@@ -35,8 +35,14 @@ def test_thresholds_are_compiled_into_the_verdict(spark):
     df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
     kept = {r["doc_id"]: r["kept"] for r in quality.judge(df).select("doc_id", "verdict.kept").collect()}
     assert kept == {0: True, 1: False, 2: False, 3: False}
-    strict = quality.judge(df, rules=(quality.Rule("n_words", high=5),))
-    assert not strict.where("verdict.kept").count()
+    assert not quality.keep(df, rules=(quality.Rule("n_words", high=5),)).count()
+
+
+def test_kept_rows_have_their_own_columns(spark):
+    good = "the cat and the dog are in the house of a friend who was not at home on that day "
+    schema = "doc_id long, text string, quality int, verdict string, row long, number int"
+    df = spark.createDataFrame([(1, good, 2, "x", 3, 4), (2, "no", 5, "y", 6, 7)], schema)
+    assert [tuple(r) for r in quality.keep(df).collect()] == [(1, good, 2, "x", 3, 4)]
 
 
 def test_one_projection_without_python(spark):
