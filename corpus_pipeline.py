@@ -11,7 +11,7 @@ from marquee.llm.shared import stage, table
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules, whole and unchanged; all others go."""
-    return quality.judge(docs).where("verdict.kept").select(*[f"`{c}`" for c in docs.columns])
+    return quality.keep(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
