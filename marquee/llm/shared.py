@@ -50,12 +50,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     seen = size(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = (
-            both.join(smallest(both), "u")
-            .where("v > u")
-            .select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
-            .distinct()
-        )
+        large = both.join(smallest(both), "u").where("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
         low = smallest(large)
         small = (
             large.join(low, "u")
