@@ -83,7 +83,7 @@ def write(pages: DataFrame, path: str, least: int = LEAST_REVISIT) -> None:
 def candidates(spark: SparkSession, path: str) -> DataFrame:
     """Staged: every place that looks like a record's start, with its successor's offset as its header gives it.
 
-    ``file, start, next, head, length, payload`` and the headers; ``digest`` and ``size`` are of the payload
+    ``file`` (a hash of its path), ``start, next`` and fields of the header; ``digest`` and ``size`` are of the payload
     where the record ends before the next candidate, and ``part`` is the digest of the bytes up to there. Each task
     reads its own byte range; the ranges' sizes, summed up, turn places in a range into offsets in the file.
     """
@@ -93,7 +93,7 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     head = F.substring_index("value", RECORD_END, 1)
     field = lambda name: F.nullif(F.regexp_extract("head", rf"(?im)^{name}:[ \t]*(.*?)[ \t]*\r?$", 1), F.lit(""))
     lines = lines.select(
-        F.col("_metadata.file_path").alias("file"),
+        F.xxhash64("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("range"),
         F.monotonically_increasing_id().alias("row"),
         size.alias("bytes"),
@@ -216,7 +216,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     parts = real.select("file", "owner", "start", "part").join(split, ["file", "owner"])
     lines = spark.read.option("lineSep", SEPARATOR).text(path)
     bodies = (
-        lines.select(F.col("_metadata.file_path").alias("file"), _sha256(F.col("value")).alias("part"), "value")
+        lines.select(F.xxhash64("_metadata.file_path").alias("file"), _sha256(F.col("value")).alias("part"), "value")
         .join(parts.select("file", "part").distinct(), ["file", "part"])
         .dropDuplicates(["file", "part"])
     )
