@@ -329,7 +329,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         F.count("*").alias("class_size"),
         F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("key"), F.col("uid"))).alias("first"),
     )
-    for used in (shared, texts, placed, links, more):
+    for used in (rows, nodes, shared, texts, placed, links, more):
         drop_stage(used)
     return labelled.join(classes, "component").select(
         "doc_id", "key", "class_id", "class_size", (F.col("uid") == F.col("first.uid")).alias("kept")

@@ -420,7 +420,9 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, max_group: int = MAX_G
     lose their whole text; a null text stays null, and a text without repeats stays as it is, with its n_chars.
     """
     rows = anchored(docs, length)
-    spans, _ = repeated_spans(docs, rows, length, max_group)
+    spans, texts = repeated_spans(docs, rows, length, max_group)
+    drop_stage(rows)
+    drop_stage(texts)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
