@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.session import stage
+from marquee.session import drop_stage, stage
 
 __all__ = ["connected_components", "content_key", "drop_stage", "stage", "table"]
 
@@ -19,14 +19,6 @@ def content_key(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
-def drop_stage(df: DataFrame) -> None:
-    """Remove the files of a staged table that nothing reads any more."""
-    spark = df.sparkSession
-    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def connected_components(links: DataFrame) -> DataFrame:
     """The component of every node of ``links(a, b)``: ``node, component`` (its smallest node).
 
