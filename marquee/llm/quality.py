@@ -32,7 +32,6 @@ class Rule:
 
 
 RULES = (
-    Rule("n_words", high=1_000_000),
     Rule("mean_word_chars", low=2, high=20),
     Rule("symbol_ratio", high=0.1),
     Rule("stop_ratio", low=0.01),

@@ -65,3 +65,11 @@ def test_empty_table(spark):
 @pytest.mark.parametrize("n", [7, 8, 9])
 def test_short_texts_have_no_repeated_windows(spark, n):
     assert judged(spark, ["a " * n])[0] == brute.quality("a " * n)
+
+
+def test_a_very_long_clean_text_stays(spark):
+    book = " ".join(f"the w{i}" for i in range(500_001))
+    df = spark.createDataFrame([(1, book)], "doc_id long, text string")
+    verdict = quality.judge(df).select("quality.n_words", "verdict.kept").first()
+    assert tuple(verdict) == (1_000_002, True)
+    assert quality.keep(df).count() == 1
