@@ -294,7 +294,7 @@ def normalised_scores(v: Views) -> DataFrame:
 
 
 def _content(v: Views) -> content.ContentModel:
-    return content.build_content_model(v.metadata, STOP_WORDS)
+    return content.build_content_model(v.metadata, STOP_WORDS, content.MAX_FEATURES)
 
 
 @registered
@@ -311,7 +311,7 @@ def _terms(v: Views) -> tuple[DataFrame, DataFrame]:
     kept = content.with_soup(v.metadata)
     counts = stage(content.term_counts(kept, STOP_WORDS), "term-counts")
     n_texts = kept.agg(F.count("*").alias("n")).scalar()
-    return counts, content.vocabulary(counts, n_texts)
+    return counts, content.vocabulary(counts, n_texts, content.MAX_FEATURES)
 
 
 @registered
@@ -472,7 +472,9 @@ def merge_scored(v: Views) -> DataFrame:
 
 def _models(v: Views, with_svd: bool) -> top.Models:
     ratings = stage(v.ratings, "ratings")  # a join here, a table elsewhere
-    return top.build_models(ratings, v.movies, v.metadata, **CUTS, stop_words=STOP_WORDS, with_svd=with_svd)
+    return top.build_models(
+        ratings, v.movies, v.metadata, **CUTS, stop_words=STOP_WORDS, with_svd=with_svd, max_features=content.MAX_FEATURES
+    )
 
 
 @registered
