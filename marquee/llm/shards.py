@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.llm.shared import drop_stage, stage
@@ -20,14 +20,21 @@ def _bits(digest: Column) -> Column:
     return F.lpad(F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 2), HASH_BITS, "0")
 
 
+def _text() -> Column:
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
+
+
+def _digest() -> Column:
+    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
+    return F.md5(F.concat(name, F.lit(":"), _text()))
+
+
 def hashed_rows(docs: DataFrame) -> DataFrame:
     """Staged ``doc_id, n_bytes, bits``: 64 bits of the MD5 of doc_id and text, then 64 that differ between equal rows."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    name = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     rows = docs.select(
         F.col("doc_id").cast("long"),
-        F.octet_length(text).cast("long").alias("n_bytes"),
-        F.md5(F.concat(name, F.lit(":"), text)).alias("digest"),
+        F.octet_length(_text()).cast("long").alias("n_bytes"),
+        _digest().alias("digest"),
         F.md5(F.monotonically_increasing_id().cast("string")).alias("salt"),
     )
     bits = F.concat(_bits(F.col("digest")), _bits(F.col("salt")))
@@ -93,6 +100,31 @@ def shard_documents(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     )
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``number``, from 1 within equal ``bits``: the place in one of 64 parts, after all parts before."""
+    held = stage(rows.withColumn("part", F.monotonically_increasing_id() % 64), "rows")
+    before = Window.partitionBy("bits").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = held.groupBy("bits", "part").count()
+    parts = parts.select("bits", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("bits", "part").orderBy(F.lit(1)))
+    placed = held.withColumn("place", place).join(parts, ["bits", "part"])
+    return placed.withColumn("number", F.col("before") + F.col("place")).drop("part", "place", "before")
+
+
 def write_shards(docs: DataFrame, shards: DataFrame, path: str) -> None:
-    """Write whole rows into one folder for each shard, for a doc_id that is unique and not null."""
-    docs.join(shards.select("doc_id", "shard"), "doc_id").repartition("shard").write.partitionBy("shard").parquet(path)
+    """Write whole rows into one folder for each shard, every row once; ``shards`` is the result for these ``docs``.
+
+    A row's shard is the one that begins its 64 hash bits. Equal rows that were split beyond those
+    bits are dealt out by number: as many go to each shard as were counted there.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), _bits(_digest()).alias("bits"))
+    shallow = shards.where(F.col("depth") <= HASH_BITS).select("depth", "shard").distinct()
+    depths = F.array(*[F.lit(r["depth"]) for r in shallow.select("depth").distinct().collect()]).cast("array<int>")
+    prefixes = rows.select("bits").distinct().withColumn("depth", F.explode(depths))
+    prefixes = prefixes.withColumn("shard", F.expr("substring(bits, 1, depth)"))
+    whole = rows.join(prefixes.join(shallow, ["depth", "shard"]).select("bits", "shard"), "bits").select("row.*", "shard")
+    deep = shards.where(F.col("depth") > HASH_BITS)
+    slots = _numbered(deep.select(F.substring("shard", 1, HASH_BITS).alias("bits"), "shard"))
+    split = _numbered(rows.join(slots.select("bits").distinct(), "bits", "left_semi"))
+    split = split.join(slots, ["bits", "number"]).select("row.*", "shard")
+    whole.unionByName(split).repartition("shard").write.partitionBy("shard").parquet(path)

@@ -45,3 +45,16 @@ def test_written_shards_hold_all_rows(spark, tmp_path):
     shards.write_shards(df, shards.shard_documents(df, 300), f"{tmp_path}/s")
     back = spark.read.option("recursiveFileLookup", False).parquet(f"{tmp_path}/s")
     assert back.count() == 40 and back.agg(F.sum("depth")).first()[0] == sum(range(40))
+
+
+def test_null_and_repeated_ids_are_written_once(spark, tmp_path):
+    rows = [(None, "n" * 50, 1)] * 3 + [(7, "x" * 100, i) for i in range(30)] + [(8, c * 40, 1) for c in "abc"]
+    rows += [(i, "y" * 50, 1) for i in range(100, 130)] + [(9, None, 1)]
+    df = spark.createDataFrame(rows, SCHEMA + ", place int").repartition(3)
+    found = shards.shard_documents(df, 300)
+    shards.write_shards(df, found, f"{tmp_path}/s")
+    back = spark.read.schema(SCHEMA + ", place int, shard string").parquet(f"{tmp_path}/s").collect()
+    assert sorted(map(repr, (tuple(r)[:3] for r in back))) == sorted(map(repr, rows))
+    size = lambda r: len(r["text"] or "")
+    written = sorted((r["doc_id"] or 0, size(r), r["shard"]) for r in back)
+    assert written == sorted((r["doc_id"] or 0, r["n_bytes"], r["shard"]) for r in found.collect())
