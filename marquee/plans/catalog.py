@@ -354,7 +354,7 @@ def similar(v: Views) -> DataFrame:
     requests = v.movies.select(
         F.col("movieId").alias("request_id"), text.seed_title(F.col("title")).alias("title")
     )
-    return top.similar(_content(v), requests, min_votes=MIN_VOTES, fuzzy=False, all_items=True, digits=9)
+    return top.similar(_content(v), requests, min_votes=MIN_VOTES, all_items=True, digits=9)
 
 
 # --- titles ----------------------------------------------------------------------------
@@ -372,7 +372,7 @@ def resolve_shared_titles(v: Views) -> DataFrame:
     """Titles that many items share go to the most-voted item."""
     items = v.metadata.withColumn("title", F.col("raw_title"))
     asked = items.select(F.initcap("raw_title").alias("title"))
-    return titles.resolve_titles(asked, titles.search_table(items), fuzzy=False).select("title", "id")
+    return titles.resolve_titles(asked, titles.search_table(items)).select("title", "id")
 
 
 @registered
