@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import bpe, chat, minhash, packing, quality, shards, subspace, suffix, tokencount, warc
+from marquee.llm import bpe, chat, merkle, minhash, packing, quality, shards, subspace, suffix, tokencount, warc
 from marquee.llm.shared import table
 from marquee.session import shared_folder
 
@@ -75,6 +75,13 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
+    without_breaks = F.when(tampered, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    return merkle.verified_manifest(docs.withColumn("seen_text", without_breaks))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
@@ -89,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_best_fit_packing,
             op9_weighted_minhash,
             op10_token_counts,
+            op13_merkle,
         )
     }
 
@@ -201,6 +209,78 @@ QUALIFY row_number() OVER (PARTITION BY r ORDER BY depth) = 1
 """
 
 
+#: Levels that the SQL has: enough for 3 ** 13 leaves of a source.
+_MERKLE_LEVELS = 13
+
+#: The CRC-32 of a decimal number, bit by bit.
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({0}::VARCHAR, ''),
+  lambda x: ascii(x)::BIGINT)), lambda c, b: list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0],
+  lambda a, z: xor(a >> 1, (a & 1) * 3988292384))))"""
+
+
+def _merkle_field(column: str) -> str:
+    return f"coalesce(strlen({column}::VARCHAR)::VARCHAR || ':' || {column}::VARCHAR, '-')"
+
+
+def _merkle_tree(name: str, levels: int) -> str:
+    """CTEs of a tree over ``{name}0(tree, idx, n, d)``: levels ``{name}k`` and steps ``{name}_step_k``."""
+    out = []
+    for k in range(levels):
+        out.append(f"""
+{name}_step{k} AS MATERIALIZED (
+  SELECT a.tree, a.idx, a.n, coalesce(string_agg(b.d, '' ORDER BY b.idx) FILTER (b.idx < a.idx), '') AS l,
+         coalesce(string_agg(b.d, '' ORDER BY b.idx) FILTER (b.idx > a.idx), '') AS r
+  FROM {name}{k} a JOIN {name}{k} b ON a.tree = b.tree AND a.idx // 3 = b.idx // 3 WHERE a.n > 1 GROUP BY ALL
+), {name}{k + 1} AS MATERIALIZED (
+  SELECT tree, idx // 3 AS idx, (n + 2) // 3 AS n, sha256(string_agg(d, '' ORDER BY idx)) AS d
+  FROM {name}{k} WHERE n > 1 GROUP BY tree, idx // 3, n
+  UNION ALL SELECT tree, idx, n, d FROM {name}{k} WHERE n = 1
+)""")
+    return ",".join(out)
+
+
+def _merkle_walk(source: str, tree: str, key: str, place: str, levels: int) -> str:
+    """``source`` with proof, folded digest and place led through the levels of a tree."""
+    sql = source
+    for k in range(levels):
+        sql = f"""
+SELECT w.* REPLACE (w.proof || coalesce(s.l || s.r, '') AS proof, CASE WHEN s.l IS NULL THEN w.fold
+  ELSE sha256(s.l || w.fold || s.r) END AS fold, CASE WHEN s.l IS NULL THEN w.{place} ELSE w.{place} // 3 END AS {place})
+FROM ({sql}) w LEFT JOIN {tree}_step{k} s ON s.tree = w.{key} AND s.idx = w.{place}"""
+    return sql
+
+
+_SEEN_TEXT = f"CASE WHEN {_CRC.format('doc_id')} % 2 = 0 THEN replace(text, chr(10), '') ELSE text END"
+_MERKLE_LEAF = "sha256(" + " || ".join(_merkle_field(f) for f in merkle.FIELDS) + ")"
+
+MERKLE_SQL = f"""
+WITH x AS MATERIALIZED (
+  SELECT doc_id, source, lang, n_chars, text, {_SEEN_TEXT} AS seen FROM documents
+), d AS MATERIALIZED (
+  SELECT doc_id, coalesce('=' || source, '') AS tree, {_MERKLE_LEAF} AS leaf,
+         {_MERKLE_LEAF.replace("text", "seen")} AS seen FROM x
+), leaves AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx,
+         count(*) OVER (PARTITION BY tree) AS n FROM d
+), t0 AS (SELECT tree, idx, n, leaf AS d FROM leaves),
+{_merkle_tree("t", _MERKLE_LEVELS)},
+tops AS MATERIALIZED (
+  SELECT tree AS source_key, d, row_number() OVER (ORDER BY encode(tree)) - 1 AS top, count(*) OVER () AS n
+  FROM t{_MERKLE_LEVELS}
+), r0 AS (SELECT '' AS tree, top AS idx, n, d FROM tops),
+{_merkle_tree("r", _MERKLE_LEVELS)},
+walked AS (
+  SELECT w.*, tops.top, tops.d AS subroot, '' AS everything
+  FROM ({_merkle_walk("SELECT *, '' AS proof, seen AS fold FROM leaves", "t", "tree", "idx", _MERKLE_LEVELS)}) w
+  JOIN tops ON tops.source_key = w.tree
+), ended AS (
+  SELECT * FROM ({_merkle_walk("SELECT * FROM walked", "r", "everything", "top", _MERKLE_LEVELS)})
+)
+SELECT doc_id, leaf, subroot, r.d AS root, sha256(proof) AS proof_sha256, fold AS folded_root, fold = r.d AS verified
+FROM ended, r{_MERKLE_LEVELS} r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc": WARC_SQL,
@@ -208,4 +288,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_quality_rules": QUALITY_SQL,
         "op4_chat_format": CHAT_SQL,
         "op7_extendible_shards": SHARDS_SQL,
+        "op13_merkle": MERKLE_SQL,
     }

@@ -159,3 +159,40 @@ def chats(rows):
         digest = lambda x: hashlib.sha256(x.encode()).hexdigest()
         out.append((conv, len(turns), digest(whole), len(learned), digest(learned), len(shown)))
     return sorted(out, key=repr)
+
+
+def merkle(rows, seen, arity=3):
+    """(doc_id, leaf, subroot, root, proof_sha256, folded_root) of (doc_id, source, lang, n_chars, text) rows."""
+
+    def h(*parts):
+        return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+    def leaf(row):
+        return h(*["-" if v is None else f"{len(str(v).encode())}:{v}" for v in row])
+
+    def tree(nodes):
+        """Root, and for each place the (left, right) siblings of each level."""
+        steps, level, at = [[] for _ in nodes], list(nodes), list(range(len(nodes)))
+        while len(level) > 1:
+            for place, k in enumerate(at):
+                first = k - k % arity
+                steps[place].append(("".join(level[first:k]), "".join(level[k + 1 : first + arity])))
+            level = [h(*level[i : i + arity]) for i in range(0, len(level), arity)]
+            at = [k // arity for k in at]
+        return level[0], steps
+
+    groups = defaultdict(list)
+    for row, later in zip(rows, seen, strict=True):
+        groups[row[1]].append((row[0] is not None, row[0] or 0, leaf(row), row[0], leaf((*row[:4], later))))
+    order = sorted(groups, key=lambda s: (s is not None, (s or "").encode()))
+    below = {s: tree([x[2] for x in sorted(groups[s])]) for s in order}
+    root, top = tree([below[s][0] for s in order]) if order else (None, [])
+    out = []
+    for place, source in enumerate(order):
+        subroot, steps = below[source]
+        for (_, _, mine, doc, later), path in zip(sorted(groups[source]), steps, strict=True):
+            node = later
+            for left, right in path + top[place]:
+                node = h(left, node, right)
+            out.append((doc, mine, subroot, root, h(*[x + y for x, y in path + top[place]]), node))
+    return sorted(out, key=repr)
