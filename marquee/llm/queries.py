@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import bpe, chat, merkle, minhash, packing, quality, shards, subspace, suffix, tokencount, warc
+from marquee.llm import bpe, chat, covers, merkle, minhash, packing, quality, shards, subspace, suffix, tokencount, warc
 from marquee.llm.shared import table
 from marquee.session import shared_folder
 
@@ -75,6 +75,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokencount.count_tokens(table(spark, sf_dir, "documents"), vocabulary)
 
 
+def op11_cover_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = covers.cut_passages(table(spark, sf_dir, "documents"))
+    kept = F.coalesce(F.sha2("kept_text", 256), F.col("words_sha256")).alias("kept_sha256")
+    return found.select("doc_id", "n_words", "n_removed", kept)
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
@@ -96,6 +102,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_best_fit_packing,
             op9_weighted_minhash,
             op10_token_counts,
+            op11_cover_anchors,
             op13_merkle,
         )
     }
@@ -208,6 +215,28 @@ FROM p JOIN s USING (depth, shard) WHERE shard_bytes <= {shards.LIMIT} OR shard_
 QUALIFY row_number() OVER (PARTITION BY r ORDER BY depth) = 1
 """
 
+COVERS_SQL = rf"""
+WITH d AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, doc_id,
+         list_filter(regexp_split_to_array(coalesce(text, ''), '{_GAPS}'), lambda x: x <> '') AS words
+  FROM documents
+), g AS MATERIALIZED (
+  SELECT r, doc_id, i, md5(array_to_string(words[i : i + {covers.LENGTH - 1}], ' ')) AS gram
+  FROM (SELECT r, doc_id, words, unnest(range(1, len(words) - {covers.LENGTH - 2})) AS i FROM d)
+), gone AS (
+  SELECT DISTINCT r, i + k AS p
+  FROM (SELECT r, i FROM (SELECT r, doc_id, i, min(doc_id) OVER (PARTITION BY gram) AS low FROM g) WHERE doc_id > low),
+       range({covers.LENGTH}) AS x(k)
+), w AS (
+  SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS p FROM d
+), k AS (
+  SELECT w.r, string_agg(word, ' ' ORDER BY w.p) FILTER (gone.p IS NULL) AS kept, count(gone.p) AS n_removed
+  FROM w LEFT JOIN gone ON gone.r = w.r AND gone.p = w.p GROUP BY w.r
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+       sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (r)
+"""
 
 #: Levels that the SQL has: enough for 3 ** 13 leaves of a source.
 _MERKLE_LEVELS = 13
@@ -288,5 +317,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_quality_rules": QUALITY_SQL,
         "op4_chat_format": CHAT_SQL,
         "op7_extendible_shards": SHARDS_SQL,
+        "op11_cover_anchors": COVERS_SQL,
         "op13_merkle": MERKLE_SQL,
     }

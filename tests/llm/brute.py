@@ -196,3 +196,22 @@ def merkle(rows, seen, arity=3):
                 node = h(left, node, right)
             out.append((doc, mine, subroot, root, h(*[x + y for x, y in path + top[place]]), node))
     return sorted(out, key=repr)
+
+
+def earlier_passages(rows, length=50):
+    """(doc_id, n_words, n_removed, kept words) of (doc_id, text): windows that a smaller doc_id has are removed."""
+    texts = [(words(t), d) for d, t in rows]
+    low = {}
+    for w, d in texts:
+        for i in range(len(w) - length + 1):
+            if d is not None:
+                k = tuple(w[i : i + length])
+                low[k] = min(low.get(k, d), d)
+    out = []
+    for w, d in texts:
+        gone = [False] * len(w)
+        for i in range(len(w) - length + 1):
+            if d is not None and low[tuple(w[i : i + length])] < d:
+                gone[i : i + length] = [True] * length
+        out.append((d, len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g)))
+    return sorted(out, key=repr)
