@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marquee.llm import bpe, chat, covers, merkle, minhash, packing, quality, shards, subspace, suffix, tokencount, warc
+from marquee.llm import bpe, chat, covers, merkle, minhash, packing, quality, runs, shards, subspace, suffix, tokencount, warc
 from marquee.llm.shared import table
 from marquee.session import shared_folder
 
@@ -81,6 +81,24 @@ def op11_cover_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", kept)
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the texts is made periodic from some word on, by the CRC-32 of the doc_id (none without one)."""
+    words = F.filter(F.split("text", "[\\x09-\\x0D ]+"), lambda w: w != "")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    tail = F.col("n") - F.col("a")
+    repeated = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), F.ceil(tail / F.col("p")).cast("int")))
+    changed = F.concat_ws(" ", F.slice("words", F.lit(1), F.col("a")), F.slice(repeated, F.lit(1), tail))
+    docs = (
+        table(spark, sf_dir, "documents")
+        .select("doc_id", "text", F.when(h % 10 == 0, words).alias("words"), g.alias("g"))
+        .withColumn("n", F.size("words"))
+        .withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")).cast("int"))
+        .withColumn("p", (1 + F.floor(tail / (3 + F.col("g") % 8))).cast("int"))
+    )
+    return runs.run_report(runs.find_runs(docs.select("doc_id", F.when(F.col("n") > 0, changed).otherwise(F.col("text")).alias("text"))))
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0
@@ -103,6 +121,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op9_weighted_minhash,
             op10_token_counts,
             op11_cover_anchors,
+            op12_periodic_runs,
             op13_merkle,
         )
     }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -215,3 +216,47 @@ def earlier_passages(rows, length=50):
                 gone[i : i + length] = [True] * length
         out.append((d, len(w), sum(gone), " ".join(x for x, g in zip(w, gone, strict=True) if not g)))
     return sorted(out, key=repr)
+
+
+def changed_words(doc_id, text):
+    """The words of a text, for a tenth of the ids periodic from some word on."""
+    w = words(text)
+    h = zlib.crc32(str(doc_id).encode()) if doc_id is not None else 1
+    g, n = h // 10, len(w)
+    if h % 10 or not n:
+        return w
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+
+
+def runs(w, least=12):
+    """(start, length, period) of all runs of a list, by start, then period."""
+    found = {}
+    for q in range(1, len(w) // 2 + 1):
+        i = 0
+        while i + q < len(w):
+            if w[i] != w[i + q]:
+                i += 1
+                continue
+            a = i
+            while i + q < len(w) and w[i] == w[i + q]:
+                i += 1
+            if i - a + q >= max(least, 2 * q) and (a, i + q) not in found:
+                found[a, i + q] = q  # periods ascend: the first is the smallest
+    return sorted(((a, b - a, q) for (a, b), q in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def collapsed(w, found):
+    gone = {i for a, n, q in found for i in range(a + q, a + n)}
+    return [x for i, x in enumerate(w) if i not in gone]
+
+
+def run_report(doc_id, text):
+    w = changed_words(doc_id, text)
+    found = runs(w)
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    best = max(found, key=lambda r: (r[1], -r[0], -r[2])) if found else (None, None, None)
+    exponent = 1000 * best[1] // best[2] if found else None
+    lines = "".join(f"{a},{n},{q}\n" for a, n, q in found)
+    return (doc_id, len(found), *best, exponent, sha(lines), sha(" ".join(collapsed(w, found))))
