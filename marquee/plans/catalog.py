@@ -330,7 +330,7 @@ def similar_items(v: Views) -> DataFrame:
     """Lists around every item of the catalogue."""
     model = _content(v)
     seeds = model.items.select(F.col("id").alias("seed_id"), "id")
-    found = content.similar_items(model, seeds, min_votes=MIN_VOTES, all_items=True)
+    found = content.similar_items(model, seeds, min_votes=MIN_VOTES)
     return found.select("seed_id", "rank", "id", "score")
 
 
@@ -344,7 +344,7 @@ def similar_filtered(v: Views) -> DataFrame:
         F.upper(F.split("genre_names", " ")[0]).alias("genre"),
         F.when(F.col("id") % 2 == 0, F.col("original_language")).alias("lang"),
     )
-    found = content.similar_items(model, seeds, 20, min_votes=MIN_VOTES, all_items=True)
+    found = content.similar_items(model, seeds, 20, min_votes=MIN_VOTES)
     return content.as_shown(found, 9)
 
 
@@ -354,7 +354,7 @@ def similar(v: Views) -> DataFrame:
     requests = v.movies.select(
         F.col("movieId").alias("request_id"), text.seed_title(F.col("title")).alias("title")
     )
-    return top.similar(_content(v), requests, min_votes=MIN_VOTES, all_items=True, digits=9)
+    return top.similar(_content(v), requests, min_votes=MIN_VOTES, digits=9)
 
 
 # --- titles ----------------------------------------------------------------------------
