@@ -443,7 +443,7 @@ def svd_checks(v: Views) -> DataFrame:
 
 @registered
 def favourite_seeds(v: Views) -> DataFrame:
-    return ensemble.favourite_seeds(v.ratings, v.movies)
+    return ensemble.favourite_seeds(v.ratings, v.movies).select("userId", "seed", "title")
 
 
 @registered
@@ -470,16 +470,18 @@ def merge_scored(v: Views) -> DataFrame:
     )
 
 
-def _models(v: Views, with_svd: bool) -> top.Models:
+def _models(v: Views, with_svd: bool, max_features: int | None = None) -> top.Models:
     ratings = stage(v.ratings, "ratings")  # a join here, a table elsewhere
     return top.build_models(
-        ratings, v.movies, v.metadata, **CUTS, stop_words=STOP_WORDS, with_svd=with_svd, max_features=content.MAX_FEATURES
+        ratings, v.movies, v.metadata, **CUTS, stop_words=STOP_WORDS, with_svd=with_svd, max_features=max_features
     )
 
 
 @registered
 def hybrid_without_svd(v: Views) -> DataFrame:
-    return top.hybrid_recommend(_models(v, False), min_votes=MIN_VOTES, fuzzy=False, digits=6)
+    """By raw title, as its SQL has it: lists that name a film differently don't meet."""
+    models = _models(v, False, content.MAX_FEATURES)
+    return top.hybrid_recommend(models, min_votes=MIN_VOTES, fuzzy=False, title_key="raw", digits=6)
 
 
 @registered
@@ -487,6 +489,31 @@ def hybrid_recommendations(v: Views) -> DataFrame:
     return top.hybrid_recommend(_models(v, True), min_votes=MIN_VOTES)
 
 
+@registered
+def hybrid_checks(v: Views) -> DataFrame:
+    """Counts of what must never happen in the lists of the collaborative and content models, merged by film: all of them 0."""
+    models = _models(v, False)
+    lists = stage(top.hybrid_recommend(models, min_votes=MIN_VOTES), "hybrid-lists")
+    name = text.canonical_title(F.col("title")).alias("name")
+    named = lists.select("userId", name)
+    rated = v.ratings.select("userId", "movieId").join(v.movies, "movieId").select("userId", name).distinct()
+    whole = lists.groupBy("userId").agg(F.max("rank").alias("last"), F.countDistinct("rank").alias("n"))
+    after = F.lead("hybrid_score").over(Window.partitionBy("userId").orderBy("rank"))
+    people = models.dense.select("userId").distinct()
+    rows = (
+        ("seen films", named.join(rated, ["userId", "name"], "left_semi").agg(F.count("*").alias("n"))),
+        ("films twice in a list", named.agg((F.count("*") - F.countDistinct("userId", "name")).alias("n"))),
+        ("ranks with gaps", whole.agg(F.count_if(F.expr("last != n")).alias("n"))),
+        ("scores out of order", lists.withColumn("next", after).agg(F.count_if(F.expr("next > hybrid_score")).alias("n"))),
+        ("scores out of range", lists.agg(F.count_if(~F.col("hybrid_score").between(0, 1)).alias("n"))),
+        ("active users without a list", people.join(lists, "userId", "left_anti").agg(F.count("*").alias("n"))),
+        ("items in both tables not bridged", v.movies.join(models.content.items.select(F.col("id").alias("movieId")), "movieId")
+         .join(models.bridge.where("same and movieId = id"), "movieId", "left_anti").agg(F.count("*").alias("n"))),
+    )
+    counted = [df.select(F.lit(label).alias("violation"), F.col("n").cast("int").alias("n")) for label, df in rows]
+    return reduce(DataFrame.unionByName, counted)
+
+
 # --- sentiment -------------------------------------------------------------------------
 
 

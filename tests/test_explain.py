@@ -112,3 +112,27 @@ def test_attribution_summary(spark):
     df = spark.createDataFrame(rows, "review_id long, rank int, word string, weight double")
     got = {r.review_id: r.summary for r in attribution.attribution_summary(df).collect()}
     assert got == {1: "Positive signals: a, c, d, e | Negative signals: b", 2: "No clear signals found"}
+
+
+def test_names_are_found_by_their_rarest_trigram(spark):
+    import random
+
+    random.seed(2)
+    titles = ["".join(random.choice("abcé ") for _ in range(random.randint(0, 9))) for _ in range(120)]
+    movies = spark.createDataFrame([(i, t, f"g{i}") for i, t in enumerate(titles)] + [(500, None, "x")], "movieId long, title string, genres string")
+    names = ["", "a", "É", "zz", "zzz"] + ["".join(random.choice("abcÉ ") for _ in range(random.randint(1, 5))) for _ in range(80)]
+    got = {r.title: r.genres for r in explain.genres_by_title(spark.createDataFrame([(n,) for n in names], "title string"), movies).collect()}
+    want = {}
+    for n in names:
+        hits = [i for i, t in enumerate(titles) if n.lower() in t]
+        if hits:
+            want[n] = f"g{hits[0]}"
+    assert got == want
+
+
+def test_a_film_of_the_catalogue_has_its_own_genres(spark):
+    ratings, movies = frames(spark)
+    recs = spark.createDataFrame([(1, 1, "Toy Story (1995)", 0.5, 3), (1, 2, "Heat", 0.4, None)], "userId long, rank int, title string, hybrid_score double, movieId long")
+    profiles = spark.createDataFrame([(1, ["Children", "Crime"], None, [])], "userId long, top_genres array<string>, top_decade int, top_movies array<string>")
+    rows = {r.title: r.explanation for r in explain.explain_recommendations(recs, profiles, movies).collect()}
+    assert rows == {"Toy Story (1995)": "Matches your love of Children", "Heat": "Matches your love of Crime"}
