@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from marquee.llm.shared import stage
+from marquee.llm.shared import drop_stage, stage
 
 #: Nodes that share a parent.
 ARITY = 3
@@ -104,9 +104,10 @@ class Forest:
     def paths(self, above: DataFrame) -> DataFrame:
         """(tree, idx, path) of the lowest nodes: the siblings at each level up to the root, then ``above(tree, path)``.
 
-        Goes downwards, so that a path is put together once for all nodes under the same parent.
+        Goes downwards, so that a path is put together once for all nodes under the same parent; every level but the lowest is
+        staged, so that no plan grows with the height.
         """
-        found = None
+        found, held = None, None
         for level in range(len(self.ended) - 1, -1, -1):
             here = self.ended[level].select("tree", "idx").join(above, "tree").select("tree", "idx", "path")
             if level < len(self.levels):
@@ -115,6 +116,11 @@ class Forest:
                 nodes = self.levels[level].withColumn("up", F.expr(f"idx div {self.arity}"))
                 lower = nodes.join(up, ["tree", "up"]).select("tree", "idx", F.concat(step, "path").alias("path"))
                 here = here.unionByName(lower)
+            if level:
+                here = stage(here, "paths")
+                if held is not None:
+                    drop_stage(held)
+                held = here
             found = here
         return found
 
