@@ -214,10 +214,11 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     # Payloads with magic inside are put together again: their parts are known by file and digest.
     split = real.where("real and not whole").select("file", F.col("start").alias("owner"), "head_bytes", "content")
     parts = real.select("file", "owner", "start", "part").join(split, ["file", "owner"])
+    wanted = stage(parts.select("file", "part").distinct(), "parts")  # often empty or small: then no payload moves
     lines = spark.read.option("lineSep", SEPARATOR).text(path)
     bodies = (
         lines.select(F.xxhash64("_metadata.file_path").alias("file"), _sha256(F.col("value")).alias("part"), "value")
-        .join(parts.select("file", "part").distinct(), ["file", "part"])
+        .join(wanted, ["file", "part"])
         .dropDuplicates(["file", "part"])
     )
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "value"))), lambda x: x["value"]), SEPARATOR)
