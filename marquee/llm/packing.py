@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.llm.shared import stage
-from marquee.llm.vocabularies import ranks_from_json
+from marquee.llm.vocabularies import added_tokens, ranks_from_json
 
 CAPACITY = 2048
 END_OF_TEXT = 0
@@ -26,18 +26,19 @@ def token_pieces(
 ) -> DataFrame:
     """Every whole text as pieces of at most ``capacity`` ids, staged: ``uid, doc_id, piece, start, length, ids``.
 
-    A document is the ids of its text (null: empty) and then ``end``. Only a longer one is cut: its first piece has
+    A document is the ids of its text (null: empty; added tokens of the vocabulary are matched inside it) and then ``end``. Only a longer one is cut: its first piece has
     what is left over, all others are full. ``ids`` is a binary of little-endian unsigned 32-bit
     numbers. Repeated rows, also with one doc_id (null included), are documents of their own: ``uid`` tells them
     apart. Other columns of ``docs`` are ignored.
     """
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(ranks_from_json(vocabulary))
+    added = added_tokens(vocabulary)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
-        encoder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens={})
+        encoder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks.value, special_tokens=added)
         columns: list[list] = [[], [], [], [], []]
         held = 0
 
@@ -51,7 +52,7 @@ def token_pieces(
         for batch in batches:
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
                 doc_id = doc_id.as_py()
-                ids = np.asarray([*encoder.encode_ordinary(text.as_py() or ""), end], dtype="<u4")
+                ids = np.asarray([*encoder.encode(text.as_py() or "", allowed_special="all"), end], dtype="<u4")
                 first = len(ids) % capacity or capacity
                 edges = [0, *range(first, len(ids) + 1, capacity)]
                 for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):

@@ -26,6 +26,15 @@ def ranks_from_json(path: str) -> dict[bytes, int]:
     }
 
 
+def added_tokens(path: str) -> dict[str, int]:
+    """Tokens of a byte-level BPE file that are matched in a text as they stand, before it is cut into words."""
+    with open(path, encoding="utf-8") as file:
+        added = json.load(file).get("added_tokens", [])
+    if any(x.get(flag) for x in added for flag in ("lstrip", "rstrip", "single_word", "normalized")):
+        raise ValueError("added tokens that take in blanks, or only whole or changed words, are not supported")
+    return {x["content"]: x["id"] for x in added}
+
+
 def ranks_from_tiktoken(path: str) -> dict[bytes, int]:
     with open(path, "rb") as file:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in file if line.strip())}

@@ -75,6 +75,7 @@ def texts():
     random.seed(2)
     words = "the quick brown fox's jumps over 12 lazy dogs \n é語".split(" ")
     out = [None, "", "a"] + [" ".join(random.choice(words) for _ in range(random.randint(0, 900))) for _ in range(40)]
+    out += ["<|endoftext|>", "a <|endoftext|> b", "<|endoftext|>b", "b\n<|endoftext|>", "<|endoftext|><|endoftext|>", "<|endof text|>", "x<|endoftext|"]
     return out + [" ".join(random.choice(words) for _ in range(9000))]
 
 
@@ -83,7 +84,6 @@ def test_pieces_equal_the_library_and_fill_sequences(spark):
     df = spark.createDataFrame(list(enumerate(rows)), SCHEMA).repartition(3)
     got = packing.pack(df, PATH, public_tokenizers.PATTERN).collect()
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     by_doc = {}
     for r in sorted(got, key=lambda r: (r["doc_id"], r["piece"])):
         by_doc.setdefault(r["doc_id"], []).append(r)
