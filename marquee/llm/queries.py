@@ -48,7 +48,8 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return suffix.repeat_report(table(spark, sf_dir, "documents"))
+    found = suffix.repeat_report(table(spark, sf_dir, "documents"))
+    return found.withColumn("n_kept", F.col("n_bytes") - F.col("n_removed"))
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
