@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marquee.llm.hashing import Shingles, chunks, mix
-from marquee.llm.shared import connected_components, content_key, drop_stage, stage
+from marquee.llm.shared import connected_components, content_key, drop_stage, split_by_key, stage
 
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 3
@@ -282,9 +282,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         .select("bucket", "head")
     )
     shared = stage(members.join(heads, "bucket"), "buckets")
-    involved = nodes.select("node", "key").join(shared.select("node").distinct(), "node")
+    involved = stage(nodes.select("node", "key").join(shared.select("node").distinct(), "node"), "involved")
+    keyed = docs.select(content_key(F.col("text")).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
     texts = stage(
-        docs.select(content_key(F.col("text")).alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+        split_by_key(keyed, involved, "key")[0]
         .join(involved, "key")
         .groupBy("key", "node")
         .agg(F.first("text").alias("text"))
@@ -329,7 +330,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         F.count("*").alias("class_size"),
         F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("key"), F.col("uid"))).alias("first"),
     )
-    for used in (rows, nodes, shared, texts, placed, links, more):
+    for used in (rows, nodes, shared, involved, texts, placed, links, more):
         drop_stage(used)
     return labelled.join(classes, "component").select(
         "doc_id", "key", "class_id", "class_size", (F.col("uid") == F.col("first.uid")).alias("kept")
@@ -338,13 +339,18 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
 
 def deduplicate(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` with one document of each class of near duplicates, all columns as they were."""
-    keep = near_duplicates(docs, similarity).where("kept").select("key", F.col("doc_id").alias("kept_id"))
+    found = stage(near_duplicates(docs, similarity).select("key", "doc_id", "kept"), "classes")
+    # Texts with a row that goes are few; a text all of whose rows stay (just one) needs no join.
+    touched = stage(found.where("not kept").select("key").distinct(), "touched")
+    keep = found.where("kept").join(touched, "key", "left_semi").select("key", F.col("doc_id").alias("kept_id"))
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     keyed = docs.select(content_key(F.col("text").cast("string")).alias("key"), row)
-    return (
-        keyed.join(keep, "key")
+    likely, whole = split_by_key(keyed, touched, "key")
+    untouched = likely.join(touched, "key", "left_anti").unionByName(whole)
+    chosen = (
+        likely.join(keep, "key")
         .where(F.col("row.doc_id").cast("long").eqNullSafe(F.col("kept_id")))
         .groupBy("key")
         .agg(F.first("row").alias("row"))
-        .select("row.*")
     )
+    return chosen.select("row.*").unionByName(untouched.select("row.*"))

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from marquee.session import drop_stage, stage
 
-__all__ = ["connected_components", "content_key", "drop_stage", "stage", "table"]
+__all__ = ["connected_components", "content_key", "drop_stage", "split_by_key", "stage", "table"]
+
+#: Bits of a key filter: at most 8 MB are broadcast, whatever the number of keys.
+FILTER_BITS = 1 << 26
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +22,24 @@ def content_key(text: Column) -> Column:
     return F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256))
 
 
+def split_by_key(rows: DataFrame, keys: DataFrame, key: str, bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
+    """``rows`` in two parts: those whose key may be one of ``keys``, and those whose key surely isn't.
+
+    ``rows`` has no columns `_bucket` and `_bits`. The keys mark bits of a table of fixed size, which is broadcast, so that rows of the second part need no shuffle to be told
+    apart. With very many keys the first part holds all rows: the join that has to follow is exact either way.
+    """
+    place = F.pmod(F.xxhash64(F.col(key)), F.lit(bits)) + 1
+    marks = keys.select(place.alias("_place")).groupBy(F.bitmap_bucket_number("_place").alias("_bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias("_bits")
+    )
+    marked = rows.withColumn("_bucket", F.bitmap_bucket_number(place)).join(F.broadcast(stage(marks, "marks")), "_bucket", "left")
+    at = F.bitmap_bit_position(place)
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    bit = F.floor(byte / F.pow(F.lit(2), at % 8)) % 2
+    likely = F.coalesce(bit == 1, F.lit(False))
+    return marked.where(likely).select(*rows.columns), marked.where(~likely).select(*rows.columns)
+
+
 def connected_components(links: DataFrame) -> DataFrame:
     """The component of every node of ``links(a, b)``: ``node, component`` (its smallest node).
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from marquee.llm.hashing import mix
-from marquee.llm.shared import content_key, drop_stage, stage
+from marquee.llm.shared import content_key, drop_stage, split_by_key, stage
 
 LENGTH = 400
 GRAM = 64
@@ -296,11 +296,12 @@ def repeated_spans(
     grams = stage(anchors.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "grams")
     shared = stage(anchors.join(grams, "gram"), "shared")
     one = rows.groupBy("key").agg(F.min("uid").alias("uid"))
-    needed = one.join(shared.select("uid").distinct(), "uid").select("key")
+    needed = stage(one.join(shared.select("uid").distinct(), "uid").select("key"), "needed")
+    keyed = docs.select(
+        content_key(F.col("text").cast("string")).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
+    )
     texts = stage(
-        docs.select(
-            content_key(F.col("text").cast("string")).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
-        )
+        split_by_key(keyed, needed, "key")[0]
         .join(needed, "key")
         .groupBy("key")
         .agg(F.first("text").alias("text")),
@@ -362,7 +363,7 @@ def repeated_spans(
         ),
         "spans",
     )
-    for used in (grams, shared, pieces, cut):
+    for used in (grams, shared, needed, pieces, cut):
         drop_stage(used)
     return spans, texts
 
@@ -434,11 +435,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, max_group: int = MAX_G
 
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row")
     body = F.col("text").cast("string")
-    joined = docs.select(content_key(body).alias("key"), row, body.alias("body")).join(
-        spans.select("key", "spans"), "key", "left"
-    )
+    likely, surely = split_by_key(docs.select(content_key(body).alias("key"), row, body.alias("body")), spans.select("key"), "key")
+    joined = likely.join(spans.select("key", "spans"), "key", "left")
     changed = joined.where("spans is not null").select("row", "body", "spans")
-    whole = joined.where("spans is null").select("row", "body")
+    whole = joined.where("spans is null").select("row", "body").unionByName(surely.select("row", "body"))
     names = {c: F.col("body") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns}
     counted = dict(names)
     if "n_chars" in docs.columns:

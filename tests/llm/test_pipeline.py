@@ -33,7 +33,7 @@ def test_stages_equal_brute_force(spark):
     ids = sorted(left)
     bodies = [left[i].encode() for i in ids]
     want = {}
-    for i, body, gone in zip(ids, bodies, brute.covered(bodies, 400), strict=True):
+    for i, body, gone in zip(ids, bodies, brute.covered(bodies, corpus_pipeline.PASSAGE), strict=True):
         want[i] = bytes(b for b, g in zip(body, gone, strict=True) if not g).decode(errors="ignore")
     assert {r["doc_id"]: r["text"] for r in cut.collect()} == want
 
