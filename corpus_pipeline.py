@@ -8,6 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from marquee.llm import minhash, packing, quality, suffix
 from marquee.llm.shared import stage, table
 
+#: Bytes of the shortest passage that is cut: below what 50 words take, above what a common phrase does.
+PASSAGE = 250
+
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the quality rules, whole and unchanged; all others go."""
@@ -20,8 +23,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the bytes of 400-byte strings that occur twice."""
-    return suffix.remove_repeats(docs)
+    """All documents, without the bytes of strings of ``PASSAGE`` bytes that occur twice."""
+    return suffix.remove_repeats(docs, PASSAGE)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
