@@ -42,6 +42,15 @@ def score_reviews(model: PipelineModel, reviews: DataFrame) -> DataFrame:
     )
 
 
+def word_pulls(model: PipelineModel, words: DataFrame) -> tuple[DataFrame, float]:
+    """``words(word)`` with ``pull``, what one occurrence adds to the margin of a text, and the margin of no words at all."""
+    tf, idf, regression = model.stages[1:]
+    alone = words.select("word", F.array("word").alias("words"))
+    scored = regression.transform(idf.transform(tf.transform(alone)))
+    intercept = float(regression.intercept)
+    return scored.select("word", (vector_to_array("rawPrediction")[1] - intercept).alias("pull")), intercept
+
+
 def score_with(
     reviews: DataFrame, load: Callable[[], Callable[[pd.Series], pd.Series]]
 ) -> DataFrame:

@@ -6,7 +6,6 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -642,18 +641,12 @@ def recommend(v: Views) -> DataFrame:
     return top.recommend(_models(v, True), _scores(v), min_votes=MIN_VOTES)
 
 
-_VALENCE = dict(LEXICON)
-
-
-def lexicon_total(texts: pd.Series) -> pd.Series:
-    """Squashed valence sum of each text: the score whose words are attributed."""
-    total = texts.str.lower().str.split().map(lambda ws: sum(_VALENCE.get(w.strip(".,|"), 0.0) for w in ws))
-    return total / (total**2 + sentiment.ALPHA) ** 0.5
-
-
 @registered
 def word_attribution(v: Views) -> DataFrame:
-    found = attribution.attribute_words(v.reviews, lexicon_total)
+    """The words that drive the classifier's probability, for every review."""
+    model, _, _ = _classifier(v)
+    words = v.reviews.select(F.explode(text.tokens(F.col("review"))).alias("word")).distinct()
+    found = attribution.attribute_features(v.reviews, *classifier.word_pulls(model, words))
     return found.withColumn("weight", F.round("weight", 6))
 
 

@@ -136,3 +136,52 @@ def test_a_film_of_the_catalogue_has_its_own_genres(spark):
     profiles = spark.createDataFrame([(1, ["Children", "Crime"], None, [])], "userId long, top_genres array<string>, top_decade int, top_movies array<string>")
     rows = {r.title: r.explanation for r in explain.explain_recommendations(recs, profiles, movies).collect()}
     assert rows == {"Toy Story (1995)": "Matches your love of Children", "Heat": "Matches your love of Crime"}
+
+
+def test_a_text_that_the_scorer_fails_on_has_one_row(spark):
+    def moody(texts: pd.Series) -> pd.Series:
+        if texts.str.contains("boom").any():
+            raise RuntimeError("no score")
+        return texts.map(lambda t: float("nan") if "void" in t else t.count("good"))
+
+    df = spark.createDataFrame([(1, "a good film"), (2, "it goes boom"), (3, "void of sense"), (4, "good , good !")], "review_id long, review string")
+    found = attribution.attribute_words(df.coalesce(1), moody).orderBy("review_id", "rank").collect()
+    assert [tuple(r) for r in found if r.review_id in (2, 3)] == [(i, 1, attribution.UNAVAILABLE, 0.0) for i in (2, 3)]
+    assert [r.word for r in found if r.review_id == 1][0] == "good" and [r.word for r in found if r.review_id == 4] == ["good"]
+
+
+def test_additive_classifier_words_equal_its_masked_texts(spark):
+    import math
+
+    pulls = {"masterpiece": 1.5, "dull": -2.0, "near": 0.3}
+    review = "What a masterpiece of a story , MASTERPIECE at first , though dull near the end"
+    df = spark.createDataFrame([(1, review), (2, None), (3, "?"), (4, "dull")], "review_id long, review string")
+    table = spark.createDataFrame(list(pulls.items()), "word string, pull double")
+    rows = attribution.attribute_features(df, table, 0.2).orderBy("review_id", "rank").collect()
+
+    def score(texts: pd.Series) -> pd.Series:
+        total = texts.map(lambda t: sum(pulls.get(w, 0.0) for w in t.split()))
+        return total.map(lambda m: 1 / (1 + math.exp(-(0.2 + m))))
+
+    # one-letter words aren't the classifier's; without them both ways have the same words and masks
+    plain = " ".join(w for w in review.lower().split() if len(w) > 1)
+    by_text = attribution.attribute_words(spark.createDataFrame([(1, plain)], "review_id long, review string"), score).orderBy("rank").collect()
+    mine = [r for r in rows if r.review_id == 1]
+    assert [(r.word, round(r.weight, 9)) for r in mine] == [(r.word, round(r.weight, 9)) for r in by_text]
+    assert {r.review_id for r in rows} == {1, 4} and [r.word for r in mine][:2] == ["masterpiece", "dull"]
+
+
+def test_pulls_of_words_add_up_to_the_margin(spark):
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.sql import functions as F
+
+    from marquee.operators import classifier
+
+    train = spark.createDataFrame([(f"good fine text {i}", 1) for i in range(8)] + [(f"bad poor text {i}", 0) for i in range(8)], "review string, label int")
+    model = classifier.train_classifier(train, 64)
+    words = spark.createDataFrame([("good",), ("text",), ("poor",)], "word string")
+    table, intercept = classifier.word_pulls(model, words)
+    pull = {r.word: r.pull for r in table.collect()}
+    text = spark.createDataFrame([("good text poor poor",)], "review string")
+    margin = model.transform(text).select(vector_to_array(F.col("rawPrediction"))[1]).first()[0]
+    assert abs(margin - (intercept + pull["good"] + pull["text"] + 2 * pull["poor"])) < 1e-9
