@@ -13,20 +13,22 @@ from pyspark.sql import functions as F
 
 from marquee.functions import literals, text
 from marquee.sources import sampling
+from marquee.sources.quoted import read_quoted
 
 RATINGS_SAMPLE = 2_000_000
 
 
-def read_csv(spark: SparkSession, paths: Sequence[str], quoted_lines: bool = False) -> DataFrame | None:
+def read_csv(
+    spark: SparkSession, paths: Sequence[str], quoted_lines: bool = False, number: str | None = None
+) -> DataFrame | None:
     """All-string rows of the first path that exists, or None.
 
-    ``quoted_lines`` accepts line breaks inside quotes; such a file is read by one
-    task, so large text sources should come as many files.
+    ``quoted_lines`` accepts line breaks inside quotes, and ``number`` then adds a column that follows the order of the rows.
     """
-    reader = spark.read.option("header", True).option("escape", '"').option("multiLine", quoted_lines)
+    reader = spark.read.option("header", True).option("escape", '"')
     for path in paths:
         try:
-            return reader.csv(path)
+            return read_quoted(spark, path, number) if quoted_lines else reader.csv(path)
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
@@ -138,11 +140,11 @@ def load_reviews(spark: SparkSession, folder: str, clean: bool = True) -> DataFr
 
     ``review_id`` follows the order of the rows in their files, unless the file has one.
     """
-    raw = _required(spark, folder, ["IMDB Dataset.csv", "reviews.csv"], quoted_lines=True)
+    raw = _required(spark, folder, ["IMDB Dataset.csv", "reviews.csv"], quoted_lines=True, number="_row")
     if "review_id" in raw.columns:
-        raw = raw.withColumn("review_id", F.col("review_id").try_cast("long"))
+        raw = raw.withColumn("review_id", F.col("review_id").try_cast("long")).drop("_row")
     else:
-        raw = raw.select(F.monotonically_increasing_id().alias("review_id"), "*")
+        raw = raw.withColumnRenamed("_row", "review_id")
     return clean_reviews(raw) if clean else raw
 
 

@@ -50,7 +50,7 @@ def test_metadata_with_keywords_and_credits(spark, tmp_path):
 
 def test_reviews(spark, tmp_path):
     write(tmp_path, "IMDB Dataset.csv", 'review,sentiment\n"A<br /><br />great, film",positive\nBad,negative\n')
-    rows = tables.load_reviews(spark, str(tmp_path)).collect()
+    rows = tables.load_reviews(spark, str(tmp_path)).orderBy("review_id").collect()
     assert [(r.review, r.label) for r in rows] == [("A great, film", 1), ("Bad", 0)]
 
 
@@ -84,3 +84,45 @@ def test_split_parts_are_disjoint_and_exact(spark):
     assert sizes == {"train": 600, "validation": 300} and split.select("id").distinct().count() == 900
     order = sampling.shuffled_position(spark.range(500), ["id"]).select("position").distinct()
     assert order.agg(F.min("position"), F.max("position"), F.count("*")).first()[:] == (1, 500, 500)
+
+
+def quoted_file(n, seed=3):
+    import random
+
+    random.seed(seed)
+    bits = ["plain", "two\nlines", 'a ""quote""', "comma, inside", "\n\n", "", "é\r\nx", '""', "tail\n"]
+    rows = ["id,text,note"]
+    for i in range(n):
+        rows.append(f'{i},"{"".join(random.choice(bits) for _ in range(random.randint(0, 4)))}",{random.choice(["x", "", chr(34) * 2])}')
+    return "\n".join(rows) + "\n"
+
+
+def test_quoted_line_breaks_are_read_by_many_tasks(spark, tmp_path):
+    write(tmp_path, "a.csv", quoted_file(400))
+    path = str(tmp_path / "a.csv")
+    want = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path).collect()
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for limit in ("64", "500", "1m"):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", limit)
+            spark.conf.set("spark.sql.files.openCostInBytes", "1")
+            got = tables.read_csv(spark, [path], quoted_lines=True, number="_row")
+            rows = got.orderBy("_row").drop("_row").collect()
+            assert rows == want
+            if limit == "500":
+                assert spark.read.option("lineSep", "\n").text(path).rdd.getNumPartitions() > 10
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_many_quoted_files_in_one_folder(spark, tmp_path):
+    (tmp_path / "t").mkdir()
+    write(tmp_path / "t", "a.csv", quoted_file(20, 1))
+    write(tmp_path / "t", "b.csv", quoted_file(30, 2).replace("\r\n", "\n").replace("\n", "\r\n"))
+    write(tmp_path / "t", "c.csv", "id,text,note\n")
+    path = str(tmp_path / "t")
+    want = spark.read.option("header", True).option("escape", '"').option("multiLine", True).csv(path).collect()
+    got = tables.read_csv(spark, [path], quoted_lines=True).collect()
+    clean = lambda rows: sorted((tuple(x.replace("\r\n", "\n") if x else x for x in r) for r in rows if r[0]), key=repr)
+    assert clean(got) == clean(want) and len(got) == 50
