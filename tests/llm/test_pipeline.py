@@ -52,4 +52,4 @@ def test_run_returns_the_last_stage(spark):
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(q[2:].split("_")[0]) for q in queries()) == list(range(1, 11))
+    assert sorted(int(q[2:].split("_")[0]) for q in queries()) == list(range(1, 14))
