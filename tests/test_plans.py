@@ -33,3 +33,17 @@ def test_term_counts_shuffle_texts_not_terms(spark):
     df = spark.createDataFrame([(1, "a few words here")], "id long, soup string")
     text = content.term_counts(df, ["a"])._jdf.queryExecution().executedPlan().toString()
     assert text.count("Exchange") == 1
+
+
+@pytest.mark.parametrize("name", ["collab_matrix", "user_profile"])
+def test_many_rows_are_dealt_over_more_tasks(spark, monkeypatch, name):
+    from marquee import session
+
+    few = rows_of(spark, name)
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    assert "REPARTITION_BY_NUM" in plan(spark, name)
+    assert rows_of(spark, name) == few
+
+
+def rows_of(spark, name):
+    return sorted(map(str, entry.queries()[name](spark, FOLDER).collect()))
