@@ -27,24 +27,29 @@ ScoreFn = Callable[[pd.Series], pd.Series]
 def _masks(n_words: int, n_samples: int, seed: int, review_id: int) -> np.ndarray:
     """Which words each copy keeps: the first copy all, every other one all but a random number of random words."""
     rng = np.random.default_rng([seed, review_id & 0xFFFFFFFFFFFFFFFF])
-    place = rng.random((n_samples, n_words)).argsort(axis=1).argsort(axis=1)
+    drawn = rng.random((n_samples, n_words))
     hidden = rng.integers(1, n_words + 1, n_samples)
     hidden[0] = 0
-    return (place >= hidden[:, None]).astype(float)
+    # A copy hides the words of its least draws: sorted draws tell the least one that is kept.
+    least = np.column_stack([np.sort(drawn, axis=1), np.full(n_samples, np.inf)])[np.arange(n_samples), hidden]
+    return (drawn >= least[:, None]).astype(float)
 
 
 def _fit(masks: list[np.ndarray], scores: list[np.ndarray]) -> list[np.ndarray]:
     """Weighted ridge coefficients of some texts, nearer copies counting more: one stacked solve over their samples."""
-    xs, ys = [], []
+    # The centred, weighted samples are never laid out: their products follow from those of the masks.
+    kernels, ys, parts = [], [], []
     for mask, score in zip(masks, scores, strict=True):
         distance = 100.0 * (1.0 - np.sqrt(mask.mean(axis=1)))  # 100 * cosine distance to the whole text
         weight = np.sqrt(np.exp(-(distance**2) / KERNEL_WIDTH**2))
         share, root = weight / weight.sum(), np.sqrt(weight)
-        xs.append(root[:, None] * (mask - share @ mask))
+        mean = share @ mask
+        off = mask @ mean
+        kernels.append((mask @ mask.T - off[:, None] - off + mean @ mean) * (root[:, None] * root))
         ys.append(root * (score - share @ score))
-    kernels = np.stack([x @ x.T for x in xs]) + RIDGE * np.eye(len(ys[0]))
-    solved = np.linalg.solve(kernels, np.stack(ys)[:, :, None])[:, :, 0]
-    return [x.T @ one for x, one in zip(xs, solved, strict=True)]
+        parts.append((mask, root, mean))
+    solved = np.linalg.solve(np.stack(kernels) + RIDGE * np.eye(len(ys[0])), np.stack(ys)[:, :, None])[:, :, 0]
+    return [(root * one) @ mask - (root @ one) * mean for (mask, root, mean), one in zip(parts, solved, strict=True)]
 
 
 def _leading(review_id: int, words: np.ndarray, weights: np.ndarray, n_words: int) -> list[tuple]:
