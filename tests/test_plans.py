@@ -47,3 +47,12 @@ def test_many_rows_are_dealt_over_more_tasks(spark, monkeypatch, name):
 
 def rows_of(spark, name):
     return sorted(map(str, entry.queries()[name](spark, FOLDER).collect()))
+
+
+def test_merged_lists_are_dealt_over_more_tasks(spark, monkeypatch):
+    from marquee import session
+
+    few = rows_of(spark, "merge_scored")
+    monkeypatch.setattr(session, "TASK_ROWS", 100)
+    assert "REPARTITION_BY_NUM" in plan(spark, "merge_scored")
+    assert rows_of(spark, "merge_scored") == few
