@@ -80,3 +80,15 @@ def test_columns_sort_as_whole_suffixes_do():
                 if i != j and t >= 0 and len(q) - t >= 14 and q[t : t + 14] == p[s : s + 14]:
                     want.update(range(at, at + 14))
         assert {x for a, b in got[i] for x in range(a, b)} == want
+
+
+def test_query_returns_the_text_that_is_left(spark, tmp_path):
+    from marquee.llm import queries
+
+    rows = texts(3)
+    frame(spark, rows).unionByName(spark.createDataFrame([(1000, None)], SCHEMA)).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r for r in queries.op5_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert len(got) == len(rows) + 1 and got[1000]["text"] is None and got[1000]["n_bytes"] == 0
+    for i, (t, gone) in enumerate(zip(rows, brute.covered(rows, 400), strict=True)):
+        kept = bytes(b for b, g in zip(t, gone, strict=True) if not g)
+        assert (got[i]["text"], got[i]["n_kept"]) == (kept.decode(errors="ignore"), len(kept))
